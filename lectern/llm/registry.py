@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, pieces
+from . import packing, pieces, toxicity
 
 
 def queries() -> dict:
     return {
         "op5_packing": packing.op5_packing,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
