@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, toxicity
+from . import packing, pieces, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op5_packing": packing.op5_packing,
+        "op7_warc": warc.op7_warc,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_warc": warc.ORACLE,
+    }
