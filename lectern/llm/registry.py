@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, toxicity, warc
+from . import html_text, packing, pieces, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_html": html_text.op1_html,
         "op5_packing": packing.op5_packing,
         "op7_warc": warc.op7_warc,
         "op9_toxicity": toxicity.op9_toxicity,
