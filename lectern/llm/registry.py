@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import html_text, packing, pieces, toxicity, warc
+from . import html_text, packing, pieces, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_html": html_text.op1_html,
+        "op2_url_filter": url_filter.op2_url_filter,
         "op5_packing": packing.op5_packing,
         "op7_warc": warc.op7_warc,
         "op9_toxicity": toxicity.op9_toxicity,
