@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_text, packing, pieces, toxicity, url_filter, warc
+from . import html_text, near_vectors, packing, pieces, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_html": html_text.op1_html,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op4_embeddings": near_vectors.op4_embeddings,
         "op5_packing": packing.op5_packing,
         "op7_warc": warc.op7_warc,
         "op9_toxicity": toxicity.op9_toxicity,
@@ -18,5 +19,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_embeddings": near_vectors.ORACLE,
         "op7_warc": warc.ORACLE,
     }
