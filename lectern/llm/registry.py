@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, near_vectors, packing, pieces, toxicity, url_filter, warc
+from . import html_text, jaccard_join, near_vectors, packing, pieces, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_embeddings": near_vectors.op4_embeddings,
         "op5_packing": packing.op5_packing,
+        "op6_jaccard": jaccard_join.op6_jaccard,
         "op7_warc": warc.op7_warc,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_sentencepiece": pieces.op10_sentencepiece,
