@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_text, jaccard_join, near_vectors, packing, pieces, toxicity, url_filter, warc
+from . import html_text, jaccard_join, near_vectors, packing, pieces, substring_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_html": html_text.op1_html,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_embeddings": near_vectors.op4_embeddings,
         "op5_packing": packing.op5_packing,
         "op6_jaccard": jaccard_join.op6_jaccard,
