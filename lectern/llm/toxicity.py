@@ -167,6 +167,24 @@ def score(docs: DataFrame, model: tuple, key: str = "doc_id", text: str = "text"
     return docs.select(key, text).mapInArrow(run, f"{key} long, score double")
 
 
+def filtered(docs: DataFrame, model: tuple, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under ``threshold``; scored and filtered in one pass."""
+    import numpy as np
+    import pyarrow as pa
+
+    kept, weights, bias = model
+    at = docs.columns.index(text)
+
+    def run(batches):
+        marked, table = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
+        marked[kept], table[kept] = True, weights
+        for batch in batches:
+            sums = np.array([table[present(x.as_py(), marked)].sum() for x in batch.column(at)]) + bias
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     """Whether a row is kept from training: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
