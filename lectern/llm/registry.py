@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, jaccard_join, near_vectors, packing, pieces, substring_dedup, toxicity, url_filter, warc
+from . import bm25, html_text, jaccard_join, near_vectors, packing, pieces, substring_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_jaccard": jaccard_join.op6_jaccard,
         "op7_warc": warc.op7_warc,
+        "op8_bm25": bm25.op8_bm25,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_sentencepiece": pieces.op10_sentencepiece,
     }
