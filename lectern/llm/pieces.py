@@ -38,6 +38,8 @@ def load(path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         if any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(model.get_piece_size())):
             raise ValueError("pieces of this model cross whitespace marks")
+        if model.is_unknown(model.piece_to_id("▁")):
+            raise ValueError("the whitespace mark is no piece of this model")
         _models[path] = model
     return _models[path]
 
@@ -56,13 +58,18 @@ class ChunkTable:
     """Ids (little-endian unsigned 32-bit) of each distinct marked word."""
 
     def __init__(self, model, entries: int = TABLE_ENTRIES):
-        self.model, self.entries, self.ids = model, entries, {}
+        import numpy as np
+
+        self.model, self.entries = model, entries
+        # A single mark at a text's end; the library encodes an empty text as nothing.
+        self.mark = {"": np.array([model.piece_to_id("▁")], "<u4").tobytes()}
+        self.ids = dict(self.mark)
 
     def add(self, lists: list[list[str]]) -> None:
         import numpy as np
 
         if len(self.ids) > self.entries:
-            self.ids = {}
+            self.ids = dict(self.mark)
         known = self.ids
         missing = list({x for words in lists for x in words if x not in known})
         for i in range(0, len(missing), 20_000):
