@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -70,11 +71,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's cleaner drop shuffle files of steps that are over, instead of at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def local_forest(batches: Iterator) -> Iterator:
     """Per partition, replace edges (a, b) by a star forest with the same components."""
     import pyarrow as pa
