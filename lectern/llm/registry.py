@@ -23,5 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_embeddings": near_vectors.ORACLE,
+        "op2_url_filter": url_filter.ORACLE,
+        "op6_jaccard": jaccard_join.ORACLE,
         "op7_warc": warc.ORACLE,
     }

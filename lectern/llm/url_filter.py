@@ -102,3 +102,37 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFram
 def op2_url_filter(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
     return judge(table(spark, sf_dir, "pages"), labels)
+
+
+def _oracle() -> str:
+    """SQL for the query: rules as cases, and one block of the tree for each level."""
+    fits = lambda text: "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '{1}')".format(*(lambda d, s, p: (d, s + p))(*text.partition("/")))
+    ordered = sorted(RULES, key=lambda x: (len(x[1]), x[1]), reverse=True)
+    rule = "CASE " + " ".join(f"WHEN {fits(text)} THEN '{text}'" for _, text in ordered) + " END"
+    kind = "CASE " + " ".join(f"WHEN {fits(text)} THEN '{verdict}'" for verdict, text in ordered) + " END"
+    levels = ""
+    for d in range(DEPTH):
+        levels += f"""
+, c{d} AS (SELECT host, prefix, coalesce(parts[{d + 1}], '') AS part, sum(labelled) AS l, sum(bad) AS b FROM k{d} GROUP BY ALL)
+, p{d} AS (SELECT host, prefix, count(*) AS fan, sum(l) AS pl, sum(b) AS pb FROM c{d} GROUP BY ALL)
+, n{d} AS (SELECT c.host, c.prefix, c.part, c.prefix || '/' || CASE WHEN NOT starts_with(part, '*') AND (fan = 1 OR
+    CASE WHEN l > 0 AND pl - l > 0 THEN l >= {LEAST_LABELS} AND abs(b / l - (pb - b) / (pl - l)) >= {Z} * sqrt(pb / pl * (1 - pb / pl) * (1 / l + 1 / (pl - l))) ELSE false END)
+    THEN part ELSE '*' END AS next FROM c{d} c JOIN p{d} p USING (host, prefix))
+, k{d + 1} AS (SELECT k.host, parts, labelled, bad, next AS prefix FROM k{d} k JOIN n{d} n ON k.host = n.host AND k.prefix = n.prefix AND coalesce(k.parts[{d + 1}], '') = n.part)"""
+    variable = VARIABLE.replace("'", "''")
+    return f"""
+WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+g AS (SELECT *, regexp_replace(path, '^/', '') AS rest, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.[A-Za-z]+)?(?:/|$)', 1), '') AS BIGINT) AS doc_id FROM u),
+h AS (SELECT *, string_split(rest, '/') AS a FROM g),
+i AS (SELECT page_id, host, path, doc_id, list_transform(CASE WHEN len(a) <= {DEPTH} THEN a ELSE list_append(a[1:{DEPTH - 1}], array_to_string(a[{DEPTH}:], '/')) END, lambda x: regexp_replace(x, '{variable}', '*\\1')) AS parts FROM h),
+b AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+k0 AS (SELECT host, parts, CAST(count(bad) AS DOUBLE) AS labelled, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, '' AS prefix FROM i LEFT JOIN b USING (doc_id) GROUP BY host, parts){levels}
+, t AS (SELECT host, prefix, sum(labelled) AS l, sum(bad) AS b FROM k{DEPTH} GROUP BY ALL)
+, q AS (SELECT host, prefix FROM t WHERE l > 0 AND (l - b + {PRIOR} * (SELECT coalesce(1 - sum(b) / nullif(sum(l), 0), 1.0) FROM t)) / (l + {PRIOR}) < {PURITY})
+, x AS (SELECT k.host, parts, k.host || k.prefix AS template FROM k{DEPTH} k JOIN q USING (host, prefix))
+SELECT page_id, i.host, path, {rule.replace("host", "i.host")} AS rule, coalesce({kind.replace("host", "i.host")}, CASE WHEN template IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM i LEFT JOIN x ON x.host = i.host AND x.parts = i.parts
+"""
+
+
+ORACLE = _oracle()
