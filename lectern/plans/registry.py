@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..functions import options, tables, text
 from ..operators import address, assistant, chunking, layout, names, numbering, rsa
 from ..sources import catalog, docx, files
@@ -20,7 +21,12 @@ def query(sql: str | None = None):
 
     def add(f):
         name = f.__name__
-        _QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        _QUERIES[name] = run
         if sql:
             _SQL[name] = sql
         return f
