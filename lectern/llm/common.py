@@ -6,28 +6,12 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that do not share the driver's folders."""
-    context = spark.sparkContext
-    if getattr(context, "_lectern_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="lectern-"), "lectern.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
-    context.addPyFile(archive)
-    context._lectern_shipped = True
+from ..deploy import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +53,7 @@ def drop(spark: SparkSession, *frames: DataFrame) -> None:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     release(spark)
