@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
