@@ -155,6 +155,35 @@ def test_recall_at_the_least_similarity(spark):
     assert got == {(2 * i + 1, 2 * i): (25, 75) for i in range(400)}
 
 
+def test_form_text_with_shared_slots(spark):
+    """A form that many documents fill in: only those with the same two values are similar, whoever else has the form."""
+    rng = random.Random(23)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    form = fresh(50)
+    values = [fresh(2) for _ in range(60)]
+    for i in range(12):
+        values[59 - i] = values[10 + i]
+    rows = []
+    for i, (x, y) in enumerate(values):
+        text = list(form)
+        text[17], text[34] = x, y
+        rows.append((i, " ".join(fresh(30) + text + fresh(30))))
+    got = {(r.doc_id, r.match_id) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(59 - i, 10 + i) for i in range(12)}
+
+
+def test_hulls():
+    tokens = np.concatenate([np.random.default_rng(1).integers(0, 2**62, 300), np.full(200, 7), np.arange(90)]).astype(np.uint64)
+    keys, contents, lo, hi = substring_dedup.hulls(tokens, 46)
+    again = substring_dedup.hulls(np.concatenate([tokens[:10], tokens]), 46)
+    assert len(set(zip(keys.tolist(), lo.tolist()))) == len(keys) and ((hi - lo) >= 45).all()
+    for f in range(substring_dedup.HASHES):
+        values = shingles.mix(tokens + np.uint64(0x632BE59BD9B4E019 * (f + 1) & (1 << 64) - 1))
+        for a, c, b in substring_dedup.compact_windows(values, 46):
+            assert any(k == np.uint64(values[c]).view(np.int64) and x <= a and b <= y for k, x, y in zip(keys, lo, hi))
+    assert len(set(contents.tolist()) & set(again[1].tolist())) > len(contents) // 2
+
+
 def brute_vectors(rows):
     links = Counter()
     pairs = []
