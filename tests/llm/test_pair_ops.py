@@ -199,6 +199,21 @@ def test_insertions_on_either_side(spark):
     assert got == expected
 
 
+def test_tails_of_overlapping_passages(spark):
+    """A text whose start one document has and whose end another has goes whole."""
+    rng = random.Random(31)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for i in range(40):
+        x = fresh(75)
+        rows += [(3 * i + j, " ".join(fresh(20) + t + fresh(20))) for j, t in enumerate((x[:60], x[15:], x))]
+    got = {}
+    for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    for i in range(40):
+        assert got[3 * i + 2] == set(range(20, 95)), i
+
+
 def brute_vectors(rows):
     links = Counter()
     pairs = []
