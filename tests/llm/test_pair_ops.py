@@ -271,6 +271,19 @@ def test_bm25(spark):
         assert all(math.isclose(-s, v) for (s, _), (_, v) in zip(best, got.get(q, [])))
 
 
+def test_bm25_asks_every_twentieth_document(spark, data, monkeypatch):
+    """Every document whose id is divisible by 20 is a query, in blocks; summing up and WAND find the same."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 20 = 0").collect()}
+    monkeypatch.setattr(bm25, "QUERIES", 4)
+    got = sorted(map(tuple, bm25.op8_bm25(spark, data).collect()))
+    asked = {i for i, t in texts.items() if bm25.terms(t)}
+    assert {r[0] for r in got} == asked and len(asked) > 8
+    assert any(len(set(bm25.terms(texts[i]))) > bm25.LONG for i in asked)
+    monkeypatch.setattr(bm25, "LONG", 400)
+    again = sorted(map(tuple, bm25.op8_bm25(spark, data).collect()))
+    assert again == got
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
