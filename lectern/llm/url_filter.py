@@ -2,7 +2,7 @@
 
 Every url has a host and path segments. Segments that look variable (numbers, dates, hexadecimal ids, long
 slugs) become wildcards that keep the extension; equal rest paths are counted together before anything is
-shuffled again. Level by level the tree of each host is then merged: a branch stays on its own only if its
+shuffled again. Level by level, to the deepest path of the data, the tree of each host is then merged: a branch stays on its own only if its
 labelled share of bad pages differs from that of its siblings by a two-proportion z-test, and all others fall
 together in a wildcard. A template is rejected if its labelled purity, smoothed towards the share of good pages
 of all labelled urls, is under ``PURITY``. Rules given by the caller come first; of several that fit a url the
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from .common import save, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; what lies below is one segment.
+#: Levels that the tree has at least, and those of the SQL, which joins what lies below into one segment.
 DEPTH = 3
 #: Labelled urls that a branch needs to stay on its own, and the z value by which it differs.
 LEAST_LABELS, Z = 20, 1.96
 #: Purity under which a template is rejected, and the number of prior observations it is smoothed with.
 PURITY, PRIOR = 0.5, 10.0
+#: Levels below DEPTH that a path does not have, at a prefix's end.
+TAIL = "^((?:/[^/]*){%d}.*?)/+$" % DEPTH
 VARIABLE = r"^(?:[0-9][0-9._-]*|[0-9a-fA-F-]{8,}|.{40,})(\.[A-Za-z]{1,5})?$"
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -58,16 +60,19 @@ def matching_rule(host: Column, path: Column, rules: tuple = RULES) -> tuple[Col
 
 
 def generalised(path: Column) -> Column:
-    """The segments of ``path``, variable ones as wildcards; what lies below DEPTH levels is joined."""
-    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", DEPTH), lambda x: F.regexp_replace(x, VARIABLE, "*$1"))
+    """The segments of ``path``, variable ones as wildcards."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda x: F.regexp_replace(x, VARIABLE, "*$1"))
 
 
 def fit(urls: DataFrame) -> DataFrame:
     """The rejected rest paths: (host, parts, template), from ``urls`` (host, path, bad); bad is null without a label."""
     keys = urls.groupBy("host", generalised(F.col("path")).alias("parts")).agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     keys = save(keys.withColumn("prefix", F.lit("")), "templates")
-    for d in range(DEPTH):
+    deepest = keys.agg(F.max(F.size("parts"))).first()[0] or 0
+    for d in range(max(DEPTH, deepest)):
         at = ["host", "prefix"]
+        if d >= DEPTH and keys.groupBy(*at).agg(F.sum("labelled").alias("l"), F.max(F.size("parts")).alias("n")).where((F.col("l") > LEAST_LABELS) & (F.col("n") > d)).isEmpty():
+            break  # no template with segments left has the labels to part
         keys = keys.withColumn("part", F.coalesce(F.get("parts", F.lit(d)), F.lit("")))
         child = keys.groupBy(*at, "part").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         parent = child.groupBy(*at).agg(F.count("*").alias("fan"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
@@ -81,7 +86,7 @@ def fit(urls: DataFrame) -> DataFrame:
     prior = templates.agg(F.coalesce(1 - F.sum("b") / F.nullif(F.sum("l"), F.lit(0)), F.lit(1.0)).alias("prior"))
     purity = (F.col("l") - F.col("b") + PRIOR * F.col("prior")) / (F.col("l") + PRIOR)
     rejected = templates.join(F.broadcast(prior)).where((F.col("l") > 0) & (purity < PURITY)).select("host", "prefix")
-    return keys.join(rejected, ["host", "prefix"]).select("host", "parts", F.concat("host", "prefix").alias("template"))
+    return keys.join(rejected, ["host", "prefix"]).select("host", "parts", F.concat("host", F.regexp_replace("prefix", TAIL, "$1")).alias("template"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFrame:

@@ -173,6 +173,17 @@ def test_url_templates(spark):
     assert all(got[1000 + i][0] == "allow" for i in range(2, 40))
 
 
+def test_url_templates_below_three_levels(spark):
+    part = lambda i: "spam" if i % 5 == 0 else "news"
+    rows = [(i, f"http://h.test/en/blog/{part(i)}/{i}.html") for i in range(300)] + [(1000 + i, f"http://g.test/a/b/v1.2/c/{part(i)}/x/{1000 + i}") for i in range(300)]
+    labels = [(i, int(i % 5 == 0)) for i in [*range(0, 300, 2), *range(1000, 1300, 2)]]
+    bad = spark.createDataFrame(labels, "doc_id long, bad int")
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.template) for r in url_filter.judge(pages, bad, ()).collect()}
+    assert {i: v for i, (v, _) in got.items()} == {i: "block" if i % 5 == 0 else "allow" for i, _ in rows}
+    assert got[0][1] == "h.test/en/blog/spam/*"
+
+
 def test_warc(spark, tmp_path):
     big = "é\r\n" * 40_000 + "\r"
     rows = [(1, "http://a b/\n", big), (2, None, None), (3, "u", "x" * 1000), (5, "u", "x" * 1000), (4, "u", "x" * 1000), (6, "u", "y" * 999), (7, "u", "y" * 999), (None, "u", "x" * 1000), (8, "u", "WARC/1.0\r\n\r\n0\r\n\r\n"), (9, "u", "\r"), (5, "u", "x" * 1000)]
