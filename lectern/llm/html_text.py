@@ -5,7 +5,8 @@ nearest enclosing element whose tag, class, id or role names a part, and whether
 scores negative; both weights are log-odds of lying in the content, counted on labelled pages (PAGES below,
 whose content is marked, or the caller's own). A linear scan finds the contiguous region with the largest
 sum. The region then grows to the element that encloses it, as short blocks at its ends belong to it, and
-words of parts that score negative (menus, adverts, comments ... within the article) are left out.
+words of parts that score negative (menus, adverts, comments ... within the article) are left out. A link in a
+block of text counts as text, one that makes up half of its block or more (LINKED) as a link.
 
 Text is decoded once (character references), white space within a block becomes one space, blocks are joined
 by a line feed; nothing else is changed, dropped or capped.
@@ -49,6 +50,8 @@ PARTS = {
 }
 NAMED = {word: part for part, words in PARTS.items() for word in words.split()}
 BY_TAG = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "dialog": "notice", "article": "main", "main": "main"}
+#: Share of a block's words in links from which on they are judged as links, not as text.
+LINKED = 0.5
 HEADLINE = frozenset("article main section".split())
 
 
@@ -145,9 +148,31 @@ class Page:
         return out[::-1]
 
 
-def feature(page: Page, element: int) -> tuple:
+def blocks_of(page: Page) -> list[int]:
+    """For each event the number of its block; a block ends at each tag that is not inline."""
+    out, block = [], 0
+    for kind, x, _ in page.events:
+        block += kind == "t" and x not in INLINE
+        out.append(block)
+    return out
+
+
+def linked(page: Page, blocks: list[int]) -> set[int]:
+    """The blocks whose words are in links by LINKED or more."""
+    words, links = Counter(), Counter()
+    for (kind, x, y), block in zip(page.events, blocks):
+        if kind == "w" and x != " " and not page.elements[y][4]:
+            n = len(x.split())
+            words[block] += n
+            if page.elements[y][3]:
+                links[block] += n
+    return {block for block, n in links.items() if n >= LINKED * words[block]}
+
+
+def feature(page: Page, element: int, dense: bool = True) -> tuple:
+    """dense: whether the block is made up of links."""
     _, _, part, link, skip = page.elements[element]
-    return ("skip",) if skip else (part, link)
+    return ("skip",) if skip else (part, link and dense)
 
 
 def train(pages: list[str]) -> dict:
@@ -159,7 +184,9 @@ def train(pages: list[str]) -> dict:
         if len(marks) != 1:
             raise ValueError("a labelled page has one element with data-content")
         open_ = False
-        for kind, x, y in page.events:
+        blocks = blocks_of(page)
+        dense = linked(page, blocks)
+        for (kind, x, y), block in zip(page.events, blocks):
             if kind == "t":
                 if x == "data-content":
                     open_ = True
@@ -167,7 +194,7 @@ def train(pages: list[str]) -> dict:
                     open_ = False
                 (inside if open_ else outside)[("tag", x)] += 1
             elif not x.isspace():
-                f = feature(page, y)
+                f = feature(page, y, block in dense)
                 good = marks[0] in page.lineage(y) and f != ("skip",) and f[0] in ("main", "page")
                 (inside if good else outside)[f] += len(x.split())
     weights = {}
@@ -199,18 +226,23 @@ def extract(source: str | None, weights: dict) -> str:
     if not source:
         return ""
     page = Page(source)
-    by_element: dict[int, float] = {}
-    scores = []
-    for kind, x, y in page.events:
+    blocks = blocks_of(page)
+    dense = linked(page, blocks)
+    weight: dict[tuple, float] = {}
+    scores, good = [], []
+    for (kind, x, y), block in zip(page.events, blocks):
         if kind == "t":
             scores.append(weights.get(("tag", x), weights["tag"]))
+            good.append(False)
             continue
-        w = by_element.get(y)
+        f = y, block in dense
+        w = weight.get(f)
         if w is None:
-            w = by_element[y] = weights.get(feature(page, y), -1.0)
+            w = weight[f] = weights.get(feature(page, *f), -1.0)
         scores.append(0.0 if x == " " else w * len(x.split()))
+        good.append(w > 0)
     start, end = best_region(scores)
-    words = [y for kind, x, y in page.events[start:end] if kind == "w" and x != " " and by_element[y] > 0]
+    words = [y for (kind, x, y), k in zip(page.events[start:end], good[start:end]) if k and x != " "]
     if not words:
         return ""
     common = page.lineage(words[0])
@@ -225,7 +257,7 @@ def extract(source: str | None, weights: dict) -> str:
     box = common[-1]
     wanted: dict[int, bool] = {}
     out, block = [], []
-    for kind, x, y in page.events:
+    for (kind, x, y), positive in zip(page.events, good):
         if kind == "t":
             if x == "br":
                 block.append(" ")
@@ -233,10 +265,10 @@ def extract(source: str | None, weights: dict) -> str:
                 out.append("".join(block))
                 block = []
             continue
-        good = wanted.get(y)
-        if good is None:
-            good = wanted[y] = by_element[y] > 0 and box in page.lineage(y)
-        if good:
+        inside = wanted.get(y)
+        if inside is None:
+            inside = wanted[y] = box in page.lineage(y)
+        if positive and inside:
             block.append(x)
     out.append("".join(block))
     return "\n".join(text for x in out if (text := " ".join(html.unescape(x).split())))
@@ -250,6 +282,8 @@ PAGES = [
     f'<body><div id="menu"><a href=/1>one page</a><a href=/2>two page</a><a href=/3>three page</a></div><div class="cookie-notice"><p>{_SAY}</p></div><div class="post-content" data-content><h2>{_SAY}</h2><p>{_SAY * 2}</p><blockquote>{_SAY}</blockquote><p>{_SAY}</p></div><div class="comments"><h3>comments</h3><p>{_SAY}</p><p>{_SAY}</p><form><textarea>say it</textarea></form></div><div class="footer">{_SAY}</div></body>',
     f'<body><div class="sidebar"><p>{_SAY}</p><ul><li><a href=/q>{_SAY}</a></li></ul></div><div data-content><h1>{_SAY}</h1><p>{_SAY * 4}</p><p>{_SAY}</p><table><tr><td>{_SAY}</td><td>{_SAY}</td></tr></table></div><div class="newsletter"><form><p>{_SAY}</p></form></div><p class="copyright">{_SAY}</p></body>',
     f'<body><section data-content><p>{_SAY * 5}</p><p>{_SAY * 2}</p></section><dialog>{_SAY}</dialog><noscript>{_SAY}</noscript><div class="share"><a href=/t>{_SAY}</a></div></body>',
+    f'<body><div><a href=/1>home</a> <a href=/2>news</a></div><div class="txt" data-content><h1>{_SAY}</h1><p>{_SAY} <a href=/x>as before</a> {_SAY}</p><p>{_SAY * 2}</p><p><a href=/y>the plan</a> {_SAY}</p></div><div><a href=/3>about us</a> <a href=/4>terms of use</a> <a href=/5>contact us here</a></div></body>',
+    f'<body><div><a href=/1>home</a></div><article data-content><h1><a href=/s>{_SAY}</a></h1><p>{_SAY * 2}</p><ul><li><a href=/x>{_SAY}</a></li></ul></article><div><a href=/3>about us</a></div></body>',
 ]
 _weights: dict | None = None
 

@@ -144,6 +144,19 @@ def test_html(spark):
     assert got[2] == got[3] == got[6] == ("", 0) and got[4][0] == "only this one" and got[5][0] == "no tags &amp; here" and got[7][0] == "deep text"
 
 
+def test_html_links_in_text():
+    story = "the council met on monday to hear how the old road would be mended and who would pay for it this year. "
+    links = '<ul><li><a href=/1>Home page</a></li><li><a href=/2>All news</a></li></ul><div><a href=/3>Terms</a> | <a href=/4>About us</a></div>'
+    page = f'<body>{links}<div class="txt"><h1>{story}</h1><p>Read <a href=x>the <b>report</b></a> today. {story * 4}</p><p>{story}<a href=y>More here</a> {story}</p></div>{links}</body>'
+    text = html_text.extract(page, html_text.default_weights())
+    s = story.strip()
+    assert text == f"{s}\nRead the report today. {' '.join([s] * 4)}\n{s} More here {s}"
+    article = page.replace('<div class="txt">', "<article>").replace(f"</div>{links}</body>", f"</article>{links}</body>")
+    assert html_text.extract(article, html_text.default_weights()) == text
+    headline = article.replace(f"<h1>{story}</h1>", f"<h1><a href=/s>{story}</a></h1>")
+    assert html_text.extract(headline, html_text.default_weights()) == text
+
+
 def test_html_best_region():
     rng = random.Random(4)
     for _ in range(200):
