@@ -1,16 +1,18 @@
 """Exact Jaccard join of word-shingle sets by PartEnum signatures.
 
-Sets with I / U >= 0.8 differ in at most D = (a + b) / 9 elements. Sizes fall in bands; within the scheme of a
-band the feature domain (shingles by their hash) is partitioned in two levels, more parts than D in all, and
-each second-level subset of one part is a signature. Two linked sets differ in at most D parts, so they share
-the signature of another. A set near the upper end of its band takes part in the next band too. Parts that are
-empty say nothing: a set with more than D filled parts shares a filled one with each of its partners; one
-without also gives the signatures of the next of a few domain partitions, and after the last those of its
-empty parts, so no link is lost (SCHEMES).
+Sets with I / U >= 0.8 differ in at most (a + b) / 9 elements. Sizes fall in bands; within the scheme of a band
+the feature domain (shingles by their hash) is partitioned in two levels, three second-level partitions in each
+first-level one, and every subset of two of the three is a signature. If two sets differ in at most D elements,
+any D // 2 + 1 first-level partitions hold one where they differ in one element at most, so two of its three
+parts are equal. A set gives the signatures of the first ``published`` partitions only, as many as its own size
+needs, larger sets at least as many as smaller ones; a set near the upper end of its band takes part in the next
+band too. Two empty parts say nothing: a set with fewer than D // 2 + 1 partitions whose subsets all hold an
+element gives the signatures of all partitions and those of the next of a few domain partitions, and after the last
+those of empty subsets, so no link is lost (SCHEMES).
 
 Signatures are sorted by partition and read as a stream. A group of up to SMALL sets gives all its pairs. A
 larger one gives pairs with its first member only, and its membership; once these are settled, its members that
-are not in one component yet are compared in bounded cells by sketches (parities of counts in buckets, which
+are not in one component yet are compared in bounded cells by their parities (of counts in buckets, which
 differ in no more bits than the sets in elements). Every candidate is settled by the exact intersection. Sets that are
 equal are linked through their digest and give signatures once a task, so groups of copies stay linear.
 
@@ -22,6 +24,8 @@ read whole; other columns are never read.
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,23 +33,55 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import components, drop, save, table
 
-BAND, SPARE, SCHEMES, SMALL, CELL, PACK, BITS = 1.6, 0.12, 4, 8, 2048, 20_000, 2048
+#: Ratio of the bands' upper sizes, standard deviations of spare partitions, domain partitions; sets of a group that give all pairs.
+BAND, SPARE, SCHEMES, SMALL = 1.5, 1.5, 4, 8
+#: Members of a cell, rows of a pack of groups, rows that a task holds at a time.
+CELL, PACK, SLICE = 1024, 4096, 512
 
 
-def bands(size: int) -> list[int]:
-    """The upper sizes of the bands in which a set of ``size`` takes part; none if only equal sets can link with it."""
+def bands(size: int) -> list[tuple[int, int]]:
+    """(upper size, least size of a partner band's set) of the bands in which a set of ``size`` takes part; none if only equal sets can link with it."""
     if size < 4:
         return []
-    upper = 5
+    before, upper = 3, 5
     while upper < size:
-        upper = max(upper + 1, int(upper * BAND))
-    return [upper, max(upper + 1, int(upper * BAND))] if 5 * size >= 4 * (upper + 1) else [upper]
+        before, upper = upper, max(upper + 1, int(upper * BAND))
+    after = max(upper + 1, int(upper * BAND))
+    return [(upper, before), (after, upper)] if 5 * size // 4 > upper else [(upper, before)]
 
 
-def parts_of(upper: int) -> tuple[int, int]:
-    """(D, parts) of the band up to ``upper``; parts is even: two in each first-level partition."""
-    most = 2 * upper // 9
-    return most, 2 * -(-int((most + 1) * (1 + SPARE) + 1) // 2)
+def most_apart(size: int, upper: int) -> int:
+    """D: in how many elements a set of ``size`` and a linked one of at most ``upper`` can differ."""
+    return (size + min(upper, 5 * size // 4)) // 9
+
+
+@cache
+def filled(mean: float) -> float:
+    """The share of first-level partitions of ``mean`` elements with two or three of their three parts in use."""
+    none = math.exp(-max(mean, 0.5) / 3)
+    return (1 - none) ** 2 * (1 + 2 * none)
+
+
+def wanted(size: int, upper: int, partitions: int) -> int:
+    """First-level partitions of which D // 2 + 1 are filled almost surely."""
+    least, share = most_apart(size, upper) // 2 + 1, filled(round(size / partitions, 1))
+    return int((least + SPARE * math.sqrt(least * (1 - share))) / share) + 1
+
+
+@cache
+def scheme(upper: int, before: int) -> tuple[int, int, tuple[int, ...]]:
+    """(first-level partitions, least size, how many of them a set of each size from the least one gives)."""
+    partitions = 0
+    trial = most_apart(upper, upper) // 2 + 1
+    while trial > partitions and partitions < max(1, upper // 4):
+        partitions = trial
+        trial = min(max(partitions, wanted(upper, upper, partitions)), max(partitions, upper // 4))
+    least = min(4 * (before + 1) // 5, upper)
+    given, out = 0, []
+    for size in range(least, upper + 1):
+        given = max(given, min(partitions, wanted(size, upper, partitions)))
+        out.append(given)
+    return partitions, least, tuple(out)
 
 
 def signatures(found):
@@ -53,65 +89,81 @@ def signatures(found):
     import numpy as np
 
     out = []
-    for upper in bands(len(found)):
-        most, parts = parts_of(upper)
-        for scheme in range(SCHEMES):
-            h = found if not scheme else np.sort(shingles.mix(found + np.uint64(scheme)))
-            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    for upper, before in bands(len(found)):
+        partitions, least, given = scheme(upper, before)
+        give = given[len(found) - least]
+        for k in range(SCHEMES):
+            h = found if not k else np.sort(shingles.mix(found + np.uint64(k)))
+            part = ((h >> np.uint64(32)) * np.uint64(3 * partitions)) >> np.uint64(32)
+            edges = np.searchsorted(part, np.arange(3 * partitions + 1, dtype=np.uint64))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles.mix(h ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)])
-            sums = sums[edges[1:]] - sums[edges[:-1]]
-            full = edges[1:] > edges[:-1]
-            enough = full.sum() > most
-            name = np.uint64((upper * SCHEMES + scheme) << 24) + np.arange(parts, dtype=np.uint64)
+            sums = (sums[edges[1:]] - sums[edges[:-1]]).reshape(partitions, 3)
+            counts = (edges[1:] - edges[:-1]).reshape(partitions, 3)
+            full = (counts > 0).sum(1) >= 2
+            enough = 2 * int(full[:give].sum()) > most_apart(len(found), upper)
+            rows = give if enough else partitions
+            sums, counts = (x[:rows].sum(1, dtype=x.dtype)[:, None] - x[:rows] for x in (sums, counts))
+            name = np.uint64((upper * SCHEMES + k) << 24) + np.arange(3 * rows, dtype=np.uint64).reshape(rows, 3)
             keys = shingles.mix(sums ^ shingles.mix(name + np.uint64(1)))
-            out.append(keys[full] if enough or scheme < SCHEMES - 1 else keys)
+            out.append(keys[counts > 0] if enough or k < SCHEMES - 1 else keys.ravel())
             if enough:
                 break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def parity(found, size: int):
-    """Which of ``size`` buckets (a power of two, 64 at least) hold an odd number of the set's shingles, one bit each.
+def parity_size(n: int) -> int:
+    """Bits of the parity of a set of ``n``: so many that few elements share one."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def parity(found):
+    """Which of parity_size buckets hold an odd number of the set's shingles, one bit each.
 
     Two sets' parities differ in at most as many bits as the sets in elements.
     """
     import numpy as np
 
+    size = parity_size(len(found))
     odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
-def parity_size(n: int) -> int:
-    """Bits of the full parity of a set of ``n``: so many that few elements share one."""
-    return max(64, 1 << (4 * n - 1).bit_length())
+def folded(bits, width: int):
+    """Rows of parities (64-bit words), folded to ``width`` words."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
-def gap(x: bytes, y: bytes) -> int:
-    """Bits in which two full parities differ; the longer one is folded to the shorter one's size."""
+def can_link(sizes_a, sizes_b, bits_a, bits_b):
+    """Whether sets can link, by their sizes and parities (rows of 64-bit words): true for every pair that does."""
     import numpy as np
 
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    width = min(bits_a.shape[-1], bits_b.shape[-1])
+    apart = np.bitwise_count(folded(bits_a, width) ^ folded(bits_b, width)).sum(-1, dtype=np.int64)
+    return (9 * apart <= sizes_a + sizes_b) & (5 * np.minimum(sizes_a, sizes_b) >= 4 * np.maximum(sizes_a, sizes_b))
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, sketch, bits) of every row; the last three are null for empty sets.
+def slices(batches, rows: int = SLICE):
+    """The batches in stretches of at most ``rows``."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
-    sketch is the parity in BITS buckets, bits the full one.
-    """
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, digest, bits) of every row; the last two, the digest and the parity of the set, are null for empty sets."""
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles.shingle_set(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()), *(pa.array([parity(x, size(len(x))).tobytes() if len(x) else None for x in sets], pa.binary()) for size in (lambda n: BITS, parity_size))], names=["doc_id", "n_shingles", "digest", "sketch", "bits"])
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
+            bits = [parity(x).tobytes() if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "digest", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bits binary")
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
@@ -208,54 +260,35 @@ def _with_end(batches):
     yield None
 
 
-def differ_little(sizes_a, sizes_b, sketches_a, sketches_b):
-    """Whether two sets can link, by their sizes and sketches (64-bit words): true for every pair that does."""
-    import numpy as np
-
-    apart = np.bitwise_count(sketches_a ^ sketches_b).sum(-1, dtype=np.int64)
-    return (9 * apart <= sizes_a + sizes_b) & (5 * np.minimum(sizes_a, sizes_b) >= 4 * np.maximum(sizes_a, sizes_b))
-
-
 def sifted(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of ``pairs`` that can link by their sizes and sketches."""
+    """The distinct pairs (a, b) of ``pairs`` that can link by their sizes and parities."""
     import numpy as np
     import pyarrow as pa
 
     def sift(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4)]
-            s = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (3, 5)]
-            yield batch.filter(pa.array(differ_little(n[0], n[1], s[0], s[1]))).select([0, 1])
+        for batch in slices(batches, 4096):
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+            x, y = (batch.column(k).to_pylist() for k in (3, 5))
+            kinds = np.array([len(v) for v in x]) * (1 << 32) + np.array([len(v) for v in y])
+            good = np.zeros(batch.num_rows, bool)
+            for kind in np.unique(kinds):
+                at = np.flatnonzero(kinds == kind)
+                words = [np.frombuffer(b"".join([v[i] for i in at]), np.uint64).reshape(len(at), -1) for v in (x, y)]
+                good[at] = can_link(a[at], b[at], *words)
+            yield batch.filter(pa.array(good)).select([0, 1])
 
-    side = lambda x: info.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: info.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
     pairs = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
     return save(pairs.mapInArrow(sift, "a long, b long").distinct(), "pairs")
 
 
-def closer(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that can link by their full parities."""
-    import pyarrow as pa
-
-    def sift(batches):
-        for batch in batches:
-            na, nb = (batch.column(k).to_pylist() for k in (2, 4))
-            good = [9 * gap(x.as_py(), y.as_py()) <= a + b for a, b, x, y in zip(na, nb, batch.column(3), batch.column(5))]
-            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
-
-    side = lambda x: info.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
-    return save(pairs.mapInArrow(sift, "a long, b long").distinct(), "closer")
-
-
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose whole sets link."""
     import numpy as np
     import pyarrow as pa
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles.shingle_set(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["doc_id", "found"])
 
     def verify(batches):
@@ -268,15 +301,15 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")  # a table, so that Spark knows its size
     held = save(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, found binary"), "sets")
     side = lambda x: held.select(F.col("doc_id").alias(x), F.col("found").alias(f"f{x}"))
     out = save(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long").distinct(), "links")
-    drop(out.sparkSession, held)
+    drop(out.sparkSession, held, ids)
     return out
 
 
-def settled(pairs: DataFrame, links: DataFrame, docs: DataFrame, info: DataFrame) -> DataFrame:
+def settled(pairs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that, with ``links``, join what the candidates ``pairs`` (saved) join.
 
     Each document is compared with its first partner; then only pairs of different components are left.
@@ -284,7 +317,7 @@ def settled(pairs: DataFrame, links: DataFrame, docs: DataFrame, info: DataFrame
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = links.union(verified(first, docs))
     rest = apart(pairs.join(first, ["a", "b"], "left_anti"), components(links))
-    return save(links.union(verified(closer(rest, info), docs)), "links")
+    return save(links.union(verified(rest, docs)), "links")
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -309,25 +342,30 @@ def cells(members: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of each group within a cell that are in two components and whose sketches differ little."""
+    """The pairs (a, b) of each group within a cell that are in two components and can link by sizes and parities."""
     import numpy as np
     import pandas as pd
 
     def run(key, frame):
         frame = frame.sort_values("g", kind="stable")
         groups, size, root, own, ids = (frame[x].to_numpy() for x in ("g", "n_shingles", "root", "own", "doc_id"))
-        sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(-1, BITS // 64)
+        width = min(map(len, frame["bits"])) // 8  # the sets of a group are of one band
+        bits = np.stack([folded(np.frombuffer(x, np.uint64), width) for x in frame["bits"]])
         starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        seen = set()
+        out = [np.zeros((0, 2), np.int64)]
         for s, e in zip(starts, [*starts[1:], len(groups)]):
             names, count = np.unique(root[s:e], return_counts=True)
             most = names[np.argmax(count)]
             for k in s + np.flatnonzero(root[s:e] != most):
-                good = (root[s:e] != root[k]) & differ_little(size[k], size[s:e], sketches[k], sketches[s:e])
+                good = (root[s:e] != root[k]) & can_link(size[k], size[s:e], bits[k], bits[s:e])
                 if key[2] != key[3]:
                     good &= own[s:e] != own[k]
-                seen.update((min(ids[k], x), max(ids[k], x)) for x in ids[s:e][good])
-        return pd.DataFrame(sorted(seen), columns=["a", "b"], dtype="int64")
+                if good.any():
+                    other = ids[s:e][good]
+                    out.append(np.stack([np.minimum(other, ids[k]), np.maximum(other, ids[k])], 1))
+            if len(out) > 1000:
+                out = [np.unique(np.concatenate(out), axis=0)]
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
     return rows.groupBy("first", "pack", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
@@ -339,11 +377,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = save(grouped(signature_rows(docs)), "groups")
     least = info.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     links = save(info.select("doc_id", "digest").join(least, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "equal")
-    links = settled(sifted(groups.where("g is null"), info), links, docs, info)
+    links = settled(sifted(groups.where("g is null"), info), links, docs)
     members = groups.where("g is not null").select("g", F.col("b").alias("first"), F.col("a").alias("doc_id")).distinct()
     members = members.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    rest = cells(save(members, "members")).join(info.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    links = links.union(verified(closer(save(across(rest), "across"), info), docs))
+    rest = cells(save(members, "members")).join(info.select("doc_id", "n_shingles", "bits"), "doc_id")
+    links = links.union(verified(save(across(rest), "across"), docs))
     roots = components(links)
     out = held.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

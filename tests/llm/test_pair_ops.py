@@ -71,8 +71,8 @@ def test_jaccard_join(spark):
 def test_signatures_meet():
     """Every two sets that link share a signature, at sizes where parts are often empty too."""
     rng = np.random.default_rng(1)
-    for n in [4, 5, 6, 8, 9, 13, 14, 20, 33, 60, 200]:
-        for _ in range(40):
+    for n in [4, 5, 6, 7, 8, 9, 10, 13, 14, 20, 33, 60, 61, 88, 200, 700]:
+        for _ in range(60):
             x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             y = np.unique(np.concatenate([x[rng.permutation(n)[: n - rng.integers(0, n // 4 + 1)]], rng.integers(0, 2**63, rng.integers(0, n // 5 + 1)).astype(np.uint64)]))
             both = len(np.intersect1d(x, y))
@@ -85,8 +85,12 @@ def test_parities_bound_the_difference():
     for n in (5, 100, 3000):
         x, y = (np.unique(rng.integers(0, 2**63, n + k).astype(np.uint64)) for k in (0, n // 2))
         y = np.unique(np.concatenate([x[: n // 2], y[: n // 3]]))
-        bits = [jaccard_join.parity(v, jaccard_join.parity_size(len(v))).tobytes() for v in (x, y)]
-        assert jaccard_join.gap(*bits) <= len(np.setxor1d(x, y))
+        bits = [jaccard_join.parity(v).view(np.uint64)[None] for v in (x, y)]
+        width = min(v.shape[1] for v in bits)
+        folded = [jaccard_join.folded(v, width) for v in bits]
+        assert np.bitwise_count(folded[0] ^ folded[1]).sum() <= len(np.setxor1d(x, y))
+        z = np.unique(np.concatenate([x[: -(n // 10) or None], rng.integers(0, 2**63, n // 12).astype(np.uint64)]))
+        assert jaccard_join.can_link(np.array([len(x)]), np.array([len(z)]), bits[0], jaccard_join.parity(z).view(np.uint64)[None]).all()
 
 
 def test_large_groups_in_cells(spark, monkeypatch):
