@@ -3,36 +3,40 @@
 Features are the presence of byte n-grams (UTF-8, A-Z lower-cased) of a few orders, hashed into a fixed number
 of buckets. Each feature is scaled by its log-count ratio r = log((p + a) / |p|) - log((q + a) / |q|), p and q
 being its document counts in the two classes, and a logistic regression with an L2 penalty is fitted on the
-scaled features. It is fitted on a bounded, deterministic sample of labelled rows (SAMPLE) and on the features
-that separate the classes best (FEATURES); scoring covers every whole text in one pass without a shuffle.
+scaled features. It is fitted on a bounded, deterministic sample of labelled rows (SAMPLE), whose n-grams are counted
+by Spark, and on all features that depend on the class (SIGNIFICANT); the model is a function of the sample and not of how
+its rows lie in files. Scoring covers every whole text in one pass without a shuffle.
 
 Defined results: a null or empty text has no features and scores as the intercept; labels other than 0 and 1
-are left out, a document labelled both ways counts as 1; repeated rows score alike; with no labels of one
-class every score is the share of label 1 (0.5 without labels); other columns are never read.
+are left out, a document labelled both ways counts as 1; repeated rows score alike, and each counts in training; with no
+labels of one class every score is the share of label 1 (0.5 without labels), and an empty table gives no rows; very long
+texts are read whole, in stretches; other columns are never read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDERS = (4, 5, 6)
 BITS = 20
-#: Most labelled rows the classifier is fitted on, and features kept.
-SAMPLE, FEATURES = 20_000, 4096
+#: Most labelled rows the classifier is fitted on, and tasks that read them.
+SAMPLE, TASKS = 20_000, 16
+#: Least chi-square statistic of a feature's presence and the class: about one in 2**BITS independent features has it by chance.
+SIGNIFICANT = 24.0
 THRESHOLD = 0.3
+#: Bytes of a text that are hashed at a time, and rows that are scored at a time.
+STRETCH, ROWS = 1 << 20, 256
 
 
-def buckets(text: str | None, orders: tuple[int, ...] = ORDERS, bits: int = BITS):
-    """The bucket of every n-gram of ``text``, repeats included; a space is put before and after."""
+def buckets(data: bytes, orders: tuple[int, ...] = ORDERS, bits: int = BITS):
+    """The bucket of every n-gram of ``data``, repeats included."""
     import numpy as np
 
-    data = np.frombuffer(b" " + (text or "").encode().lower() + b" ", np.uint8).astype(np.uint64)
-    out, rolled = [], data.copy() if text else data[:0]
+    data = np.frombuffer(data, np.uint8).astype(np.uint64)
+    out, rolled = [], data.copy()
     for n in range(2, max(orders) + 1):
-        if len(data) < n or not text:
+        if len(data) < n:
             break
         rolled = rolled[: len(data) - n + 1] * np.uint64(0x100000001B3) + data[n - 1 :]
         if n in orders:
@@ -40,46 +44,18 @@ def buckets(text: str | None, orders: tuple[int, ...] = ORDERS, bits: int = BITS
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _pieces(text: str | None, most: int = 1 << 20) -> Iterator[str]:
-    """Overlapping stretches of a long text that hold all its n-grams."""
-    text = text or ""
-    if len(text) <= most:
-        yield text
-    else:
-        for i in range(0, len(text), most):
-            yield text[max(0, i - max(ORDERS)) : i + most]
-
-
-def present(text: str | None, kept=None):
-    """The distinct buckets of a text, those that ``kept`` marks if it is given."""
+def present(text: str | None, kept=None, stretch: int = STRETCH):
+    """The distinct buckets of a text with a space before and after, those that ``kept`` marks if it is given."""
     import numpy as np
 
+    data = b" " + text.encode().lower() + b" " if text else b""
     found = []
-    for piece in _pieces(text):
-        b = buckets(piece)
+    for i in range(0, max(1, len(data)), stretch):  # each n-gram begins in one stretch and is read to its end
+        b = buckets(data[i : i + stretch + max(ORDERS) - 1])
         found.append(np.unique(b if kept is None else b[kept[b]]))
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-def ratios(positive, negative, smooth: float = 1.0):
-    """Log-count ratios of document counts."""
-    import numpy as np
-
-    p, q = positive + smooth, negative + smooth
-    return np.log(p / p.sum()) - np.log(q / q.sum())
-
-
-def choose(positive, negative, n_positive: int, n_negative: int, most: int = FEATURES):
-    """The buckets with the largest chi-square statistic between presence and class."""
-    import numpy as np
-
-    a, b = positive.astype(float), negative.astype(float)
-    c, d = n_positive - a, n_negative - b
-    total = n_positive + n_negative
-    statistic = total * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * max(n_positive, 1) * max(n_negative, 1), 1)
-    return np.sort(np.argsort(-statistic, kind="stable")[:most])
-
-
 def fit(rows, labels, scale, penalty: float = 1e-3, rounds: int = 300):
     """Weights and intercept; ``rows`` are lists of feature numbers, scaled by ``scale``."""
     import numpy as np
@@ -101,10 +77,35 @@ def fit(rows, labels, scale, penalty: float = 1e-3, rounds: int = 300):
     return w * scale, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
+def chi_square(n0: int, n1: int):
+    """The chi-square statistic between a feature's presence (document counts c0 and c1) and the class."""
+    a, b = F.col("c1").cast("double"), F.col("c0").cast("double")
+    there, away = a + b, F.lit(float(n0 + n1)) - a - b
+    return F.lit(float(n0 + n1)) * (a * (F.lit(float(n0)) - b) - b * (F.lit(float(n1)) - a)) ** 2 / F.greatest(there * away * F.lit(float(n0) * n1), F.lit(1.0))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(bucket, c0, c1): in how many texts of each class of ``rows`` (toxic, text) a bucket is present."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        counts = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts[label, present(text.as_py())] += 1
+        there = np.flatnonzero(counts.any(0))
+        for i in range(0, len(there), 1 << 16):
+            at = there[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["bucket", "c0", "c1"])
+
+    return rows.mapInArrow(run, "bucket int, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, significant: float = SIGNIFICANT, smooth: float = 1.0) -> tuple:
     """(buckets, weights, intercept) from ``labels`` (doc_id, toxic) and the texts of ``docs``.
 
-    At most ``sample`` labelled rows are used, the ones with the smallest hash of doc_id.
+    At most ``sample`` labelled ids are used, the ones with the smallest hash of doc_id.
     """
     import numpy as np
     import pyarrow as pa
@@ -113,74 +114,69 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
 
     chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
-    rows = save(rows.coalesce(8), "toxicity")
-
-    def count(batches):
-        counts, sizes = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[label, present(text)] += 1
-                sizes[label] += 1
-        there = np.flatnonzero(counts.sum(0) > 1)
-        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((sizes[0], pa.int64()), (sizes[1], pa.int64()), (there.astype(np.int32).tobytes(), pa.binary()), (counts[0, there].astype(np.int32).tobytes(), pa.binary()), (counts[1, there].astype(np.int32).tobytes(), pa.binary()))], names=["n0", "n1", "at", "c0", "c1"])
-
-    counts, sizes = np.zeros((2, 1 << BITS), np.int64), [0, 0]
-    for r in rows.coalesce(4).mapInArrow(count, "n0 long, n1 long, at binary, c0 binary, c1 binary").toLocalIterator():
-        at = np.frombuffer(r.at, np.int32)
-        counts[0, at] += np.frombuffer(r.c0, np.int32)
-        counts[1, at] += np.frombuffer(r.c1, np.int32)
-        sizes = [sizes[0] + r.n0, sizes[1] + r.n1]
-    if not all(sizes):
-        share = sizes[1] / sum(sizes) if sum(sizes) else 0.5
+    rows = save(rows.repartition(TASKS), "toxicity")
+    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        share = float(next(iter(sizes), 0.5))
         share = min(max(share, 1e-9), 1 - 1e-9)
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share)))
-    kept = choose(counts[1], counts[0], sizes[1], sizes[0])
-    scale = ratios(counts[1].astype(float), counts[0].astype(float))[kept]
+    counts = save(counted(rows), "counts")
+    q, p = (x + smooth * (1 << BITS) for x in counts.agg(F.sum("c0"), F.sum("c1")).first())
+    found = counts.where(chi_square(sizes[0], sizes[1]) >= significant).orderBy("bucket").collect()
+    kept = np.array([r.bucket for r in found], np.int64)
+    scale = np.array([np.log((r.c1 + smooth) / p) - np.log((r.c0 + smooth) / q) for r in found], float)
     marked = np.zeros(1 << BITS, bool)
     marked[kept] = True
 
     def features(batches):
         for batch in batches:
-            found = [np.searchsorted(kept, present(x, marked)).astype(np.int16).tobytes() for x in batch.column(1).to_pylist()]
+            found = [np.searchsorted(kept, present(x.as_py(), marked)).astype(np.int32).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["toxic", "found"])
 
-    held = rows.mapInArrow(features, "toxic int, found binary").orderBy("toxic", "found").collect()
-    weights, bias = fit([np.frombuffer(r.found, np.int16) for r in held], [r.toxic for r in held], scale)
+    held = sorted((r.toxic, bytes(r.found)) for r in rows.mapInArrow(features, "toxic int, found binary").collect())
+    weights, bias = fit([np.frombuffer(x, np.int32) for _, x in held], [y for y, _ in held], scale)
     return kept, weights, bias
 
 
-def score(docs: DataFrame, model: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every row."""
+def scorer(model: tuple):
+    """A function from an Arrow array of texts to their scores."""
     import numpy as np
-    import pyarrow as pa
 
     kept, weights, bias = model
+    marked, table = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
+    marked[kept], table[kept] = True, weights
+    return lambda texts: 1 / (1 + np.exp(-np.clip(np.array([table[present(x.as_py(), marked)].sum() for x in texts]) + bias, -500, 500)))
+
+
+def parts(batches):
+    """The batches in stretches of at most ROWS rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
+def score(docs: DataFrame, model: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score) of every row."""
+    import pyarrow as pa
 
     def run(batches):
-        marked, table = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
-        marked[kept], table[kept] = True, weights
-        for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                sums = np.array([table[present(x, marked)].sum() for x in part.column(1).to_pylist()]) + bias
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))))], names=[key, "score"])
+        scores = scorer(model)
+        for batch in parts(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)))], names=[key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} long, score double")
 
 
 def filtered(docs: DataFrame, model: tuple, threshold: float, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is under ``threshold``; scored and filtered in one pass."""
-    import numpy as np
     import pyarrow as pa
 
-    kept, weights, bias = model
     at = docs.columns.index(text)
 
     def run(batches):
-        marked, table = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
-        marked[kept], table[kept] = True, weights
-        for batch in batches:
-            sums = np.array([table[present(x.as_py(), marked)].sum() for x in batch.column(at)]) + bias
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))) < threshold, pa.bool_()))
+        scores = scorer(model)
+        for batch in parts(batches):
+            yield batch.filter(pa.array(scores(batch.column(at)) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

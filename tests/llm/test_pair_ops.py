@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import bm25, common, jaccard_join, near_vectors, shingles, substring_dedup
 
@@ -176,16 +177,51 @@ def test_form_text_with_shared_slots(spark):
     assert got == {(59 - i, 10 + i) for i in range(12)}
 
 
-def test_hulls():
-    tokens = np.concatenate([np.random.default_rng(1).integers(0, 2**62, 300), np.full(200, 7), np.arange(90)]).astype(np.uint64)
-    keys, contents, lo, hi = substring_dedup.hulls(tokens, 46)
-    again = substring_dedup.hulls(np.concatenate([tokens[:10], tokens]), 46)
-    assert len(set(zip(keys.tolist(), lo.tolist()))) == len(keys) and ((hi - lo) >= 45).all()
-    for f in range(substring_dedup.HASHES):
-        values = shingles.mix(tokens + np.uint64(0x632BE59BD9B4E019 * (f + 1) & (1 << 64) - 1))
-        for a, c, b in substring_dedup.compact_windows(values, 46):
-            assert any(k == np.uint64(values[c]).view(np.int64) and x <= a and b <= y for k, x, y in zip(keys, lo, hi))
-    assert len(set(contents.tolist()) & set(again[1].tolist())) > len(contents) // 2
+def test_windows_of_documents_one_after_another():
+    rng = np.random.default_rng(5)
+
+    def nodes(values, width):
+        out, todo = [], [(0, len(values))]
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo >= width:
+                c = lo + int(values[lo:hi].argmin())
+                out.append((lo, c, hi - 1))
+                todo += [(lo, c), (c + 1, hi)]
+        return out
+
+    for _ in range(100):
+        parts = [rng.integers(0, rng.choice([3, 20, 10**9]), rng.integers(0, 120)).astype(np.uint64) for _ in range(4)]
+        width, ends = int(rng.integers(1, 30)), np.cumsum([len(x) for x in parts])
+        expected = [(lo + at, c + at, hi + at) for x, at in zip(parts, ends - [len(x) for x in parts]) for lo, c, hi in nodes(x, width)]
+        assert sorted(map(tuple, substring_dedup.compact_windows(np.concatenate(parts), width, ends).tolist())) == sorted(expected)
+
+
+def test_signatures_do_not_depend_on_the_surroundings():
+    rng = np.random.default_rng(1)
+    shared = rng.integers(0, 2**62, 120).astype(np.uint64)
+    texts = [np.concatenate([rng.integers(0, 2**62, n).astype(np.uint64), shared, rng.integers(0, 2**62, m).astype(np.uint64)]) for n, m in ((0, 70), (300, 0), (13, 5))]
+    rows = substring_dedup.signed(np.concatenate(texts), np.cumsum([len(x) for x in texts]), 46)
+    of = [{tuple(r[:3]): tuple(r[4:]) for r in rows[rows[:, 3] == k].tolist()} for k in range(3)]
+    both = [x for x in of[0] if x in of[1] and x[1] and x[2]]
+    assert both and all(of[0][x][1] + 300 == of[1][x][1] for x in both)
+    assert all(0 <= lo <= c <= hi < len(texts[k]) for k in range(3) for lo, c, hi in of[k].values())
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Equal texts are one document; of different ones a single text takes part and is cut, the others stay."""
+    rng = random.Random(37)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared = fresh(70)
+    rows = [(1, shared + " " + fresh(30)), (5, fresh(20) + " " + shared), (5, fresh(100)), (6, fresh(9) + " " + shared)]
+    rows += [rows[-1], (7, None), (7, fresh(80)), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"found": F.lit("x"), "spans": F.lit(1), "id": F.lit(2)})
+    found = substring_dedup.repeats(df)
+    left = substring_dedup.cut(df, found)
+    assert left.columns == df.columns
+    got = sorted((r.doc_id, len((r.text or "").split())) for r in left.collect())
+    assert got in ([(1, 100), (5, 20), (5, 100), (6, 9), (6, 9), (7, 0), (7, 80), (8, 0)], [(1, 100), (5, 90), (5, 100), (6, 9), (6, 9), (7, 0), (7, 80), (8, 0)])
+    assert (5, 100) in got
 
 
 def test_insertions_on_either_side(spark):

@@ -124,8 +124,36 @@ def test_toxicity_without_labels(spark):
 def test_presence_of_long_texts():
     text = "".join(random.Random(2).choice("abc d") for _ in range(50_000))
     whole = toxicity.present(text)
-    parts = np.unique(np.concatenate([toxicity.buckets(x) for x in toxicity._pieces(text, 7000)]))
-    assert set(whole) <= set(parts)
+    assert (whole == toxicity.present(text, stretch=7000)).all() and (whole == toxicity.present(text, stretch=7)).all()
+    grams = {(" " + text + " ").encode()[i : i + n] for n in toxicity.ORDERS for i in range(len(text) + 3 - n)}
+    assert set(whole) == {int(toxicity.buckets(g, (len(g),))[0]) for g in grams}
+
+
+def test_toxicity_does_not_depend_on_the_layout(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["abc", "defg", "hij", "klmno", "vile" if i % 4 == 0 else "mild"]) for _ in range(40)), int(i % 4 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    models = [toxicity.train(df.repartition(n), df.select("doc_id", "toxic")) for n in (1, 7)]
+    assert len(models[0][0]) and all((np.asarray(x) == np.asarray(y)).all() for x, y in zip(*models))
+    # log-count ratios and an independent fit: gradient of the penalised mean loss is zero at the weights
+    kept, weights, bias = models[0]
+    present = [set(toxicity.present(t).tolist()) for _, t, _ in rows]
+    x = np.array([[k in p for k in kept.tolist()] for p in present], float)
+    y = np.array([r[2] for r in rows], float)
+    scores = 1 / (1 + np.exp(-(x @ weights + bias)))
+    assert ((scores >= 0.5) == (y == 1)).all() and abs((scores - y).mean()) < 0.01
+
+
+def test_op9_query(spark, data):
+    from lectern.llm import registry
+
+    rows = registry.queries()["op9_toxicity"](spark, data).collect()
+    docs_ = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    assert {r.doc_id for r in rows} == docs_ and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    held = [r.predicted == toxic[r.doc_id] for r in rows if r.held_out and toxic.get(r.doc_id) is not None]
+    assert sum(held) >= 0.9 * len(held)
 
 
 PAGE = """<!doctype html><head><title>T</title><script>var a="</p><p>no";</script></head><body><header><h2>Site</h2></header>
