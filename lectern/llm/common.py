@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import deploy
 
 #: Most bytes of a batch that Spark hands to a Python worker.
-BATCH = "16m"
+BATCH = "4m"
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder; a local one only for a local master (tests)."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     if not getattr(context, "_lectern_dir", None):
         context._lectern_dir = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
     return context._lectern_dir

@@ -56,20 +56,25 @@ def present(text: str | None, kept=None, stretch: int = STRETCH):
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-def fit(rows, labels, scale, penalty: float = 1e-3, rounds: int = 300):
-    """Weights and intercept; ``rows`` are lists of feature numbers, scaled by ``scale``."""
+def fit(rows, labels, scale, penalty: float = 1e-3, rounds: int = 300, block: int = 1 << 18):
+    """Weights and intercept; ``rows`` are lists of feature numbers, scaled by ``scale``. Rows are gone through in blocks of about ``block`` features."""
     import numpy as np
 
-    y = np.asarray(labels, float)
-    at = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    index = np.concatenate(rows).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+    y, sizes = np.asarray(labels, float), np.array([len(x) for x in rows])
+    edges, cuts = np.concatenate([[0], np.cumsum(sizes)]), [0]
+    while cuts[-1] < len(rows):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(edges, edges[cuts[-1]] + block, side="right")) - 1))
+    parts = [(s, e, np.concatenate([*rows[s:e], np.zeros(0, np.int32)]).astype(np.int32), np.repeat(np.arange(e - s, dtype=np.int32), sizes[s:e])) for s, e in zip(cuts, cuts[1:])]
     w, bias, n = np.zeros(len(scale)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), len(y)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, rounds + 1):
-        score = np.bincount(at, (w * scale)[index], n) + bias
-        gap = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
-        g = np.bincount(index, gap[at], len(scale)) * scale / n + penalty * w
-        gb = gap.mean()
+        g, gb, scaled = np.zeros_like(w), 0.0, w * scale
+        for s, e, index, at in parts:
+            score = np.bincount(at, scaled[index], e - s) + bias
+            gap = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[s:e]
+            g += np.bincount(index, gap[at], len(scale))
+            gb += gap.sum()
+        g, gb = g * scale / n + penalty * w, gb / n
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.05 * (1 - k / rounds) + 0.002
         w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
