@@ -21,34 +21,46 @@ def level(ilvl: Column) -> Column:
     return F.greatest(F.coalesce(ilvl, F.lit(0)), F.lit(0))
 
 
-def resolved_styles(styles: DataFrame, most: int = 20) -> DataFrame:
-    """(style_id, num_id, ilvl) with values inherited along based_on; a cycle or a chain over ``most`` ends there."""
-    held = styles.select("style_id", "based_on", "num_id", "ilvl")
-    parents = held.select(F.col("style_id").alias("p_id"), F.col("based_on").alias("p_on"), F.col("num_id").alias("p_num"), F.col("ilvl").alias("p_lvl"))
-    step = held.withColumn("seen", F.array("style_id"))
-    for _ in range(most):
-        ahead = step.join(parents, F.col("based_on") == F.col("p_id"), "left")
-        again = F.array_contains("seen", F.coalesce("p_id", F.lit("")))
-        step = ahead.select("style_id", F.when(~again, F.col("p_on")).alias("based_on"), F.when(again, F.col("num_id")).otherwise(F.coalesce("num_id", "p_num")).alias("num_id"), F.when(again, F.col("ilvl")).otherwise(F.coalesce("ilvl", "p_lvl")).alias("ilvl"), F.when(F.col("p_id").isNull() | again, F.col("seen")).otherwise(F.array_append("seen", F.coalesce("p_id", F.lit("")))).alias("seen"))
+def resolved_styles(styles: DataFrame) -> DataFrame:
+    """(style_id, num_id, ilvl) with values inherited along based_on to the chain's end; a cycle is gone round once.
+
+    Each round takes over the values of the style that a style points to and doubles the reach of its pointer, so
+    the rounds are the logarithm of the number of styles.
+    """
+    step = styles.select("style_id", "based_on", "num_id", "ilvl")
+    for _ in range(styles.count().bit_length()):
+        ahead = step.select(F.col("style_id").alias("a_id"), F.col("based_on").alias("a_on"), F.col("num_id").alias("a_num"), F.col("ilvl").alias("a_lvl"))
+        step = step.join(ahead, F.col("based_on") == F.col("a_id"), "left").select("style_id", F.col("a_on").alias("based_on"), F.coalesce("num_id", "a_num").alias("num_id"), F.coalesce("ilvl", "a_lvl").alias("ilvl"))
     return step.select("style_id", "num_id", "ilvl")
 
 
-def counters(paragraphs: DataFrame) -> DataFrame:
-    """``paragraphs`` with ``counters``: the value of each level of their list at that paragraph, a map.
+#: Levels of a list.
+LEVELS = 9
+
+
+def counted(paragraphs: DataFrame) -> DataFrame:
+    """``paragraphs`` with ``counters``: the value of each level of their list at that paragraph, a map; null for those without a number.
 
     A level counts on from its start and begins again after a paragraph of its list with a lower level. Rows
-    without num_id or without a level definition (null start) take no number. Blank paragraphs take one.
+    without num_id or without a level definition (null start) take no number. Blank paragraphs take one. Start is one
+    for each level of a list. All counts run along one window.
     """
-    rows = paragraphs.where("num_id is not null and start is not null").withColumn("ilvl", level(F.col("ilvl")))
-    place = Window.partitionBy("doc_id", "num_id").orderBy("para_no")
-    rows = rows.withColumn("held", F.collect_list(F.struct("ilvl", "start")).over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    empty = F.create_map().cast("map<int,int>")
+    names = paragraphs.columns
+    numbered = F.col("num_id").isNotNull() & F.col("start").isNotNull()
+    rows = paragraphs.select(F.struct(*names).alias("row"), "doc_id", "num_id", "para_no", "start", F.when(numbered, level(F.col("ilvl"))).alias("ilvl"))
+    so_far = Window.partitionBy("doc_id", "num_id").orderBy("para_no").rowsBetween(Window.unboundedPreceding, 0)
+    levels = range(LEVELS)
+    rows = rows.withColumns({f"n{k}": F.count(F.when(F.col("ilvl") == k, 1)).over(so_far) for k in levels} | {f"s{k}": F.last(F.when(F.col("ilvl") == k, F.col("start")), True).over(so_far) for k in levels})
+    rows = rows.withColumns({f"b{k}": F.coalesce(F.last(F.when(F.col("ilvl") < k, F.col(f"n{k}")), True).over(so_far), F.lit(0)) for k in levels})
+    value = lambda k: F.when(F.col(f"n{k}") > F.col(f"b{k}"), (F.col(f"s{k}") - 1 + F.col(f"n{k}") - F.col(f"b{k}")).cast("int"))
+    held = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, levels)), F.array(*map(value, levels))), lambda _, v: v.isNotNull())
+    own = {"ilvl": F.when(F.col("ilvl").isNull(), F.col("row.ilvl")).otherwise(F.col("ilvl"))}
+    return rows.select(*(own.get(x, F.col(f"row.`{x}`")).alias(x) for x in names), F.when(F.col("ilvl").isNotNull(), held).alias("counters"))
 
-    def step(m, x):
-        now = F.coalesce(F.try_element_at(m, x["ilvl"]), x["start"] - 1) + 1
-        return F.map_concat(F.map_filter(m, lambda k, _: k < x["ilvl"]), F.create_map(x["ilvl"], now))
 
-    return rows.withColumn("counters", F.aggregate("held", empty, step)).drop("held")
+def counters(paragraphs: DataFrame) -> DataFrame:
+    """The rows of :func:`counted` that have a number."""
+    return counted(paragraphs).where("counters is not null")
 
 
 def values(paragraphs: DataFrame) -> DataFrame:
@@ -58,7 +70,7 @@ def values(paragraphs: DataFrame) -> DataFrame:
     """
     rows = paragraphs.where("num_id is not null and start is not null").withColumn("ilvl", level(F.col("ilvl")))
     of_list = Window.partitionBy("doc_id", "num_id").orderBy("para_no")
-    top = 9  # levels of a list
+    top = LEVELS
     for k in range(1, top):
         rows = rows.withColumn(f"_r{k}", F.count(F.when(F.col("ilvl") < k, 1)).over(of_list))
     reset = F.lit(0).cast("long")
@@ -72,21 +84,23 @@ def values(paragraphs: DataFrame) -> DataFrame:
 def rendered(lvl_text: Column, ilvl: Column, held: Column, starts: Column, formats: Column) -> Column:
     """The template with %1 ... %9 replaced by the levels' counters, or their starts; without any it is literal."""
     text = F.coalesce(F.nullif(lvl_text, F.lit("")), F.concat(F.lit("%"), (ilvl + 1).cast("string")))
-    out = text
-    for k in range(8, -1, -1):
-        number = F.coalesce(F.try_element_at(held, F.lit(k)), F.try_element_at(starts, F.lit(k)), F.lit(1))
-        kind = F.coalesce(F.try_element_at(formats, F.lit(k)), F.lit("decimal"))
-        out = F.replace(out, F.lit(f"%{k + 1}"), list_number(number, kind))
-    return strip(out)
+    digit = lambda x: F.nullif(F.instr(F.lit("123456789"), F.nullif(F.substring(x, 1, 1), F.lit(""))), F.lit(0))
+    used = F.filter(F.transform(F.split(text, "%"), digit), lambda k: k.isNotNull())
+
+    def shown(k):
+        number = F.coalesce(F.try_element_at(held, k - 1), F.try_element_at(starts, k - 1), F.lit(1))
+        return list_number(number, F.coalesce(F.try_element_at(formats, k - 1), F.lit("decimal")))
+
+    put = lambda out, k: F.replace(out, F.concat(F.lit("%"), k.cast("string")), shown(k))
+    return strip(F.aggregate(F.sort_array(F.array_distinct(used), False), text, put))
 
 
 def prefixed(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
     """(doc_id, para_no, prefix, text): every paragraph with its list number before a text that is not blank."""
     of = levels.groupBy("num_id").agg(F.map_from_entries(F.collect_list(F.struct("ilvl", "start"))).alias("starts"), F.map_from_entries(F.collect_list(F.struct("ilvl", "num_fmt"))).alias("formats"))
-    rows = counters(paragraphs).join(of, "num_id", "left")
-    prefix = rendered(F.col("lvl_text"), F.col("ilvl"), F.col("counters"), F.col("starts"), F.col("formats"))
-    found = rows.select("doc_id", "para_no", prefix.alias("prefix"))
-    out = paragraphs.select("doc_id", "para_no", "text").join(found, ["doc_id", "para_no"], "left")
-    prefix = F.coalesce("prefix", F.lit(""))
-    text = strip(F.coalesce("text", F.lit("")))
-    return out.select("doc_id", "para_no", prefix.alias("prefix"), F.when(text == "", "").when(prefix == "", text).otherwise(F.concat(prefix, F.lit(" "), text)).alias("text"))
+    rows = counted(paragraphs).join(of, "num_id", "left")
+    prefix = F.when(F.col("counters").isNotNull(), rendered(F.col("lvl_text"), F.col("ilvl"), F.col("counters"), F.col("starts"), F.col("formats")))
+    prefix = F.coalesce(prefix, F.lit(""))
+    out = rows.select("doc_id", "para_no", prefix.alias("prefix"), strip(F.coalesce("text", F.lit(""))).alias("text"))
+    whole = F.when(F.col("text") == "", "").when(F.col("prefix") == "", F.col("text")).otherwise(F.concat("prefix", F.lit(" "), "text"))
+    return out.select("doc_id", "para_no", "prefix", whole.alias("text"))

@@ -134,15 +134,15 @@ def clean_text(read):
     return read("part").select("p_partkey", text.clean_extracted(raw).alias("cleaned"))
 
 
-_FILE = "regexp_extract(url, '([^/]*)$', 1)"
+_FILE = "regexp_extract(rtrim(url, '/'), '([^/]*)$', 1)"
 
 
-@query(f"SELECT page_id, coalesce(nullif(rtrim(trim(regexp_replace({_FILE}, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')), '. '), ''), 'upload.bin') AS name FROM pages WHERE right(url, 1) <> '/'")
+@query(f"SELECT page_id, coalesce(nullif(rtrim(trim(regexp_replace({_FILE}, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')), '. '), ''), 'upload.bin') AS name FROM pages")
 def safe_filename(read):
-    return read("pages").where("right(url, 1) <> '/'").select("page_id", text.safe_filename(F.col("url"), "upload.bin").alias("name"))
+    return read("pages").select("page_id", text.safe_filename(F.col("url"), "upload.bin").alias("name"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0) ELSE printf('%.2f MB', n_chars / 1048576.0) END AS size FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars * 10 / 1024.0 + 0.5) / 10) ELSE printf('%.2f MB', floor(n_chars * 100 / 1048576.0 + 0.5) / 100) END AS size FROM documents")
 def file_size(read):
     return read("documents").select("doc_id", text.file_size(F.col("n_chars")).alias("size"))
 

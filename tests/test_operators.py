@@ -70,6 +70,20 @@ def test_counters_equal_machine(spark):
             assert [got[d, r[1]] for r in own] == machine([r[3] for r in own])
 
 
+def test_templates_with_other_text(spark):
+    rows = [(1, p, n, i, 1, "decimal", t, "x") for p, (n, i, t) in enumerate([(1, 0, "Part %1: %0 %"), (None, None, None), (1, 1, "(%2) of %1"), (1, 1, "a"), (1, 0, None), (1, None, "%9")])]
+    df = spark.createDataFrame(rows, "doc_id long, para_no long, num_id int, ilvl int, start int, num_fmt string, lvl_text string, text string")
+    levels = spark.createDataFrame([(1, 0, 1, "upperRoman"), (1, 1, 1, "lowerLetter")], "num_id int, ilvl int, start int, num_fmt string")
+    got = [r.text for r in numbering.prefixed(df, levels).orderBy("para_no").collect()]
+    assert got == ["Part I: %0 % x", "x", "(a) of I x", "a x", "II x", "1 x"]
+
+
+def test_long_style_chain(spark):
+    rows = [(str(i), str(i + 1), None, None) for i in range(70)] + [("70", None, 4, 1)]
+    df = spark.createDataFrame(rows, "style_id string, based_on string, num_id int, ilvl int")
+    assert {(r.num_id, r.ilvl) for r in numbering.resolved_styles(df).collect()} == {(4, 1)}
+
+
 def test_style_cycle(spark):
     df = spark.createDataFrame([("a", "b", None, 2), ("b", "a", 7, None), ("c", "x", None, None)], "style_id string, based_on string, num_id int, ilvl int")
     assert {r.style_id: (r.num_id, r.ilvl) for r in numbering.resolved_styles(df).collect()} == {"a": (7, 2), "b": (7, 2), "c": (None, None)}
