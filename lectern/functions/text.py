@@ -22,7 +22,12 @@ def strip(x: Column) -> Column:
 
 
 def words(x: Column) -> Column:
-    return F.filter(F.split(x, f"{_U}{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(x, f"{_U}{SPACE}+"), "")
+
+
+def bound(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` computed once a row, however often and within whatever lambda it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
 def word_count(x: Column) -> Column:
@@ -51,8 +56,8 @@ def clean_extracted(x: Column) -> Column:
     lines = F.transform(F.split(F.regexp_replace(x, "\r\n?", "\n"), "\n"), strip)
     lines = F.transform(lines, lambda v: F.when(v.rlike(r"^\|.*\|$"), F.regexp_replace(v, r"[ \t]+", " ")).otherwise(squeeze(v)))
     # A blank line counts if the line before it is not blank.
-    kept = F.filter(F.transform(lines, lambda v, i: F.struct(v.alias("v"), F.when(i > 0, F.get(lines, i - 1)).otherwise("").alias("before"))), lambda s: (s["v"] != "") | (s["before"] != ""))
-    joined = strip(F.array_join(F.transform(kept, lambda s: s["v"]), "\n"))
+    kept = bound(lines, lambda held: F.filter(held, lambda v, i: (v != "") | (F.when(i > 0, F.get(held, i - 1)).otherwise("") != "")))
+    joined = strip(F.array_join(kept, "\n"))
     return F.when(x.isNull(), None).when(F.regexp_replace(x, "\r\n?", "\n").rlike(r"(?m)^\|.*\|$"), joined).otherwise(squeeze(x))
 
 
