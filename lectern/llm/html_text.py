@@ -1,11 +1,12 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is read as a sequence of tags and words. A word scores by the part of the page it stands in (the
-nearest enclosing element whose tag, class, id or role names a part, and whether it is in a link), a tag
-scores negative; both weights are log-odds of lying in the content, counted on labelled pages (PAGES below,
-whose content is marked, or the caller's own). A linear scan finds the contiguous region with the largest
-sum. The region then grows to the element that encloses it, as short blocks at its ends belong to it, and
-words of parts that score negative (menus, adverts, comments ... within the article) are left out. A link in a
+A page is read as a sequence of tags and words, in one pass. A word scores by the part of the page it stands in (the
+nearest enclosing element whose tag, class, id or role names a part; "other" for a box with a name that says nothing; and
+whether it is in a link), a tag scores negative; both weights are log-odds of lying in the content, counted on labelled
+pages (PAGES below, whose content is marked, or the caller's own). A linear scan finds the contiguous region with the
+largest sum; its first and last block are taken whole. What scores negative within it (menus, adverts, comments ...) is
+left out. Boxes with unknown names score negative, as on the labelled pages; where they hold more than twice the words of the
+region so found, they are scored like unnamed ones and the page is scanned again. A link in a
 block of text counts as text, one that makes up half of its block or more (LINKED) as a link.
 
 Text is decoded once (character references), white space within a block becomes one space, blocks are joined
@@ -21,7 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 
@@ -30,10 +31,14 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 SKIP = frozenset("script style textarea title iframe noembed noframes noscript template svg math object head select option datalist button canvas audio video".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
+KEEPS_P = ("button", "td", "th", "table", "caption", "object", "template", "li", "div", "section", "article", "blockquote")
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+RAW_END = {x: re.compile(rf"</{x}[\s/>]", re.I) for x in RAW}
+#: A tag from its "<" on, in one pass: quoted values may hold ">".
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: The same without regard to quotes, for pages with one that is never closed.
+PLAIN_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 #: Parts of a page, each with the words that name it in class, id or role.
@@ -50,6 +55,8 @@ PARTS = {
 }
 NAMED = {word: part for part, words in PARTS.items() for word in words.split()}
 BY_TAG = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "dialog": "notice", "article": "main", "main": "main"}
+#: Containers that are a part of their own, "other", if they have a name that says nothing.
+BOXES, NAME = frozenset("div section ul ol dl table".split()), re.compile(r"\b(?:class|id)\s*=\s*[\"']?\s*[^\s\"'>]", re.I)
 #: Share of a block's words in links from which on they are judged as links, not as text.
 LINKED = 0.5
 HEADLINE = frozenset("article main section".split())
@@ -75,9 +82,58 @@ def part_of(tag: str, attributes: str, around: str) -> str | None:
         found = None
     if own == "main" and found in ("head", "foot", "form", "notice", "side"):
         found = None
+    if not found and not own and around == "page" and tag in BOXES and attributes and NAME.search(attributes):
+        own = "other"
     return found if found and found != "main" else own or found
 
 
+def tokens(source: str):
+    """("w", text), ("c", text of a CDATA section) and ("t", name, attributes, closing) of a page, in one pass.
+
+    A "<" that begins no tag is text; an unclosed comment takes the rest; where a quote in a tag is never closed, that tag
+    and all after it end at the next ">"; a tag that never ends is text.
+    """
+    at, kind, size = 0, TAG, len(source)
+    while at < size:
+        start = source.find("<", at)
+        if start < 0:
+            yield "w", source[at:]
+            return
+        after = source[start + 1 : start + 3]
+        if after[:1] in ("!", "?"):
+            comment, data = source.startswith("<!--", start), source.startswith("<![CDATA[", start)
+            closing = "-->" if comment else "]]>" if data else ">"
+            end = source.find(closing, start + (2 if comment else 1))
+            stop = size if end < 0 else end + len(closing)
+            if comment and end < start + 4 and end >= 0:  # <!--> and <!---> are whole
+                stop = max(stop, start + 5)
+            if start > at:
+                yield "w", source[at:start]
+            if data:
+                yield "c", source[start + 9 : size if end < 0 else end]
+            at = stop
+            continue
+        if not (after[:1].isalpha() and after[:1].isascii() or after[:1] == "/" and after[1:].isalpha() and after.isascii()):
+            yield "w", source[at : start + 1]
+            at = start + 1
+            continue
+        found = kind.match(source, start)
+        if not found and kind is TAG:
+            kind = PLAIN_TAG
+            found = kind.match(source, start)
+        if not found:
+            yield "w", source[at:]
+            return
+        if start > at:
+            yield "w", source[at:start]
+        name, closing = found.group(1).lower(), source[start + 1] == "/"
+        yield "t", name, found.group(2), closing
+        at = found.end()
+        if name in RAW and not closing:
+            end = RAW_END[name].search(source, at)
+            at = end.start() if end else size
+
+
 class Page:
     """A page as events: (tag, closing, depth of the element) or text runs with their part and place."""
 
@@ -87,65 +143,47 @@ class Page:
         self.events: list[tuple] = []  # ("t", name, closing) or ("w", text, element number)
         self.elements: list[tuple] = [(-1, "#", "page", False, False)]  # parent, tag, part, in a link, skipped
         stack = [0]
-        at = 0
-        find = TOKEN.search
-        while True:
-            m = find(source, at)
-            run = source[at : m.start() if m else len(source)]
-            if run and not run.isspace():
-                self.events.append(("w", run, stack[-1]))
-            elif run:
-                self.events.append(("w", " ", stack[-1]))
-            if not m:
-                break
-            at = m.end()
-            name = m.group(1)
-            if name is None:
-                if m.group().startswith("<![CDATA["):
-                    self.events.append(("w", html.escape(m.group()[9:].removesuffix("]]>")), stack[-1]))
+        places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are open
+
+        def close(k: int) -> None:
+            for element in stack[k:]:
+                places[self.elements[element][1]].pop()
+            del stack[k:]
+
+        for token in tokens(source):
+            if token[0] == "w":
+                self.events.append(("w", " " if token[1].isspace() else token[1], stack[-1]))
+                continue
+            if token[0] == "c":
+                self.events.append(("w", html.escape(token[1]), stack[-1]))
                 continue
-            name = name.lower()
-            if m.group()[1] == "/":
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.elements[stack[k]][1] == name:
-                        del stack[k:]
-                        break
+            _, name, attributes, closing = token
+            if closing:
+                if places[name]:
+                    close(places[name][-1])
                 self.events.append(("t", name, True))
                 continue
             if name not in INLINE:
-                self._close(stack, name)
+                last = lambda x: places[x][-1] if places[x] else 0
+                if places["p"] and last("p") > max(map(last, KEEPS_P)):
+                    close(last("p"))
+                if name in ITEMS and last(name) > max(map(last, ITEMS[name])):
+                    close(last(name))
             parent = stack[-1]
             _, _, part, link, skip = self.elements[parent]
-            new = part_of(name, m.group(2), part)
             if name not in VOID:
-                self.elements.append((parent, name, new or part, link or name == "a", skip or name in SKIP))
-                if not m.group(2).endswith("/") or name not in ("svg", "path"):
+                self.elements.append((parent, name, part_of(name, attributes, part) or part, link or name == "a", skip or name in SKIP))
+                if not attributes.endswith("/") or name not in ("svg", "path"):
+                    places[name].append(len(stack))
                     stack.append(len(self.elements) - 1)
             self.events.append(("t", name, False))
-            if name in RAW:
-                end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
-                at = end.start() if end else len(source)
-
-    def _close(self, stack: list[int], name: str) -> None:
-        """Elements that the start tag of the block ``name`` closes: an open p, and an item before the next."""
-        limit = ITEMS.get(name)
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.elements[stack[k]][1]
-            if tag == "p":
-                del stack[k:]
-                return
-            if limit and tag == name:
-                del stack[k:]
-                return
-            if limit and tag in limit or tag not in INLINE and not limit:
-                return
-
-    def lineage(self, element: int) -> list[int]:
-        out = []
-        while element >= 0:
-            out.append(element)
-            element = self.elements[element][0]
-        return out[::-1]
+
+
+def within(page: Page, element: int, box: int) -> bool:
+    """Whether ``element`` is ``box`` or lies in it."""
+    while element > box:
+        element = page.elements[element][0]
+    return element == box
 
 
 def blocks_of(page: Page) -> list[int]:
@@ -195,7 +233,7 @@ def train(pages: list[str]) -> dict:
                 (inside if open_ else outside)[("tag", x)] += 1
             elif not x.isspace():
                 f = feature(page, y, block in dense)
-                good = marks[0] in page.lineage(y) and f != ("skip",) and f[0] in ("main", "page")
+                good = within(page, y, marks[0]) and f != ("skip",) and f[0] in ("main", "page", "other")
                 (inside if good else outside)[f] += len(x.split())
     weights = {}
     for kind in (True, False):
@@ -221,6 +259,29 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def regions(page: Page, weights: dict, blocks: list[int], dense: set[int], other: bool) -> tuple[list[bool], int, int, int]:
+    """(whether each event is a word that counts as content, the best region, and its words); other: whether boxes of unknown names count like unnamed ones."""
+    weight: dict[tuple, float] = {}
+    scores, good, counts = [], [], []
+    for (kind, x, y), block in zip(page.events, blocks):
+        n = 0
+        if kind == "t":
+            scores.append(weights.get(("tag", x), weights["tag"]))
+            good.append(False)
+        else:
+            f = y, block in dense
+            w = weight.get(f)
+            if w is None:
+                name = feature(page, *f)
+                w = weight[f] = weights.get(("page", name[1]) if other and name[0] == "other" else name, -1.0)
+            n = 0 if x == " " else len(x.split())
+            scores.append(w * n)
+            good.append(w > 0)
+        counts.append(n)
+    start, end = best_region(scores)
+    return good, start, end, sum(n for n, k in zip(counts[start:end], good[start:end]) if k)
+
+
 def extract(source: str | None, weights: dict) -> str:
     """The main text of one page."""
     if not source:
@@ -228,47 +289,25 @@ def extract(source: str | None, weights: dict) -> str:
     page = Page(source)
     blocks = blocks_of(page)
     dense = linked(page, blocks)
-    weight: dict[tuple, float] = {}
-    scores, good = [], []
-    for (kind, x, y), block in zip(page.events, blocks):
-        if kind == "t":
-            scores.append(weights.get(("tag", x), weights["tag"]))
-            good.append(False)
-            continue
-        f = y, block in dense
-        w = weight.get(f)
-        if w is None:
-            w = weight[f] = weights.get(feature(page, *f), -1.0)
-        scores.append(0.0 if x == " " else w * len(x.split()))
-        good.append(w > 0)
-    start, end = best_region(scores)
-    words = [y for (kind, x, y), k in zip(page.events[start:end], good[start:end]) if k and x != " "]
+    good, start, end, words = regions(page, weights, blocks, dense, False)
+    unknown = sum(len(x.split()) for (kind, x, y), block in zip(page.events, blocks) if kind == "w" and block not in dense and feature(page, y)[0] == "other")
+    if 2 * words < unknown:
+        good, start, end, words = regions(page, weights, blocks, dense, True)
     if not words:
         return ""
-    common = page.lineage(words[0])
-    for element in set(words[1:]):
-        other = page.lineage(element)
-        k = next((k for k, (a, b) in enumerate(zip(common, other)) if a != b), min(len(common), len(other)))
-        common = common[:k]
-    while len(common) > 1 and page.elements[common[-1]][2] == "main" and page.elements[common[-2]][2] == "main":
-        common.pop()
-    while len(common) > 1 and page.elements[common[-1]][1] in INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol"}:
-        common.pop()
-    box = common[-1]
-    wanted: dict[int, bool] = {}
+    while start > 0 and blocks[start - 1] == blocks[start]:
+        start -= 1
+    while end < len(blocks) and blocks[end] == blocks[end - 1]:
+        end += 1
     out, block = [], []
-    for (kind, x, y), positive in zip(page.events, good):
+    for (kind, x, y), positive in zip(page.events[start:end], good[start:end]):
         if kind == "t":
             if x == "br":
                 block.append(" ")
             elif x not in INLINE:
                 out.append("".join(block))
                 block = []
-            continue
-        inside = wanted.get(y)
-        if inside is None:
-            inside = wanted[y] = box in page.lineage(y)
-        if positive and inside:
+        elif positive:
             block.append(x)
     out.append("".join(block))
     return "\n".join(text for x in out if (text := " ".join(html.unescape(x).split())))
@@ -283,6 +322,8 @@ PAGES = [
     f'<body><div class="sidebar"><p>{_SAY}</p><ul><li><a href=/q>{_SAY}</a></li></ul></div><div data-content><h1>{_SAY}</h1><p>{_SAY * 4}</p><p>{_SAY}</p><table><tr><td>{_SAY}</td><td>{_SAY}</td></tr></table></div><div class="newsletter"><form><p>{_SAY}</p></form></div><p class="copyright">{_SAY}</p></body>',
     f'<body><section data-content><p>{_SAY * 5}</p><p>{_SAY * 2}</p></section><dialog>{_SAY}</dialog><noscript>{_SAY}</noscript><div class="share"><a href=/t>{_SAY}</a></div></body>',
     f'<body><div><a href=/1>home</a> <a href=/2>news</a></div><div class="txt" data-content><h1>{_SAY}</h1><p>{_SAY} <a href=/x>as before</a> {_SAY}</p><p>{_SAY * 2}</p><p><a href=/y>the plan</a> {_SAY}</p></div><div><a href=/3>about us</a> <a href=/4>terms of use</a> <a href=/5>contact us here</a></div></body>',
+    f'<body><div class="top-strip">{_SAY}</div><div data-content><h1>{_SAY}</h1><p>{_SAY * 3}</p><p>{_SAY}</p></div><div class="zone-3"><p>{_SAY}</p></div><div id="talkback"><p>{_SAY * 2}</p><p>{_SAY}</p></div></body>',
+    f'<body><div id="b7">{_SAY}</div><article data-content><h1>{_SAY}</h1><p>{_SAY * 2}</p></article><section class="opinions"><div>{_SAY * 2}</div></section></body>',
     f'<body><div><a href=/1>home</a></div><article data-content><h1><a href=/s>{_SAY}</a></h1><p>{_SAY * 2}</p><ul><li><a href=/x>{_SAY}</a></li></ul></article><div><a href=/3>about us</a></div></body>',
 ]
 _weights: dict | None = None

@@ -239,3 +239,30 @@ def test_warc(spark, tmp_path):
     assert len(parts) > 50
     warc.write(df.where("false"), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_main_text_of_hostile_pages():
+    import time
+
+    weights = html_text.default_weights()
+    pages = ["<a<a" * 50_000, "<div>word" * 20_000, "<b>w" * 8000 + "<div>" * 8000, '<a "' * 50_000 + ">", "<" * 100_000, "<ul>" + "<div>" * 8000 + "<li>x" * 8000, "<!--" * 100_000, "<p><b>" * 20_000]
+    for page in pages:
+        began = time.time()
+        html_text.extract(page, weights)
+        assert time.time() - began < 10
+
+
+def test_main_text_without_known_names(spark):
+    say = "the council met on tuesday to hear how the new bridge would be paid for and who would build it. "
+    story = f"<h1>Head</h1><p>{say * 3}</p><p>Short.</p><p>{say}</p>"
+    weights = html_text.default_weights()
+    for name in ("user-feedback", "opinions", "talkback", "top-strip", "zone-3"):
+        text = html_text.extract(f'<body><div>{story}</div><div class="{name}"><p>zebra {say}</p></div></body>', weights)
+        assert text.startswith("Head\nthe council") and "Short." in text and "zebra" not in text
+    boxed = html_text.extract(f'<body><div class="w7"><div id="q">{story}</div></div><div class="footer">zebra</div></body>', weights)
+    assert boxed.startswith("Head\nthe council") and "zebra" not in boxed
+    page = f"<article>{story}</article>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None), (3, "v", "")], "page_id long, url string, html string")
+    rows = html_text.main_text(df).collect()
+    assert len(rows) == 4 and sum(r.n_chars > 0 for r in rows) == 2 and {r.text for r in rows if r.page_id > 1} == {""}
+    assert html_text.main_text(df.where("false")).count() == 0
