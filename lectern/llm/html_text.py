@@ -4,7 +4,8 @@ A page is read as a sequence of tags and words, in one pass. A word scores by th
 nearest enclosing element whose tag, class, id or role names a part; "other" for a box with a name that says nothing; and
 whether it is in a link), a tag scores negative; both weights are log-odds of lying in the content, counted on labelled
 pages (PAGES below, whose content is marked, or the caller's own). A linear scan finds the contiguous region with the
-largest sum; its first and last block are taken whole. What scores negative within it (menus, adverts, comments ...) is
+largest sum; its first and last block are taken whole. Words of other parts within the main part (an advert amid the story)
+count nothing, so they do not end the region. What scores negative within it (menus, adverts, comments ...) is
 left out. Boxes with unknown names score negative, as on the labelled pages; where they hold more than twice the words of the
 region so found, they are scored like unnamed ones and the page is scanned again. A link in a
 block of text counts as text, one that makes up half of its block or more (LINKED) as a link.
@@ -141,7 +142,7 @@ class Page:
 
     def __init__(self, source: str):
         self.events: list[tuple] = []  # ("t", name, closing) or ("w", text, element number)
-        self.elements: list[tuple] = [(-1, "#", "page", False, False)]  # parent, tag, part, in a link, skipped
+        self.elements: list[tuple] = [(-1, "#", "page", False, False, False)]  # parent, tag, part, in a link, skipped, within the main part
         stack = [0]
         places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are open
 
@@ -170,9 +171,10 @@ class Page:
                 if name in ITEMS and last(name) > max(map(last, ITEMS[name])):
                     close(last(name))
             parent = stack[-1]
-            _, _, part, link, skip = self.elements[parent]
+            _, _, part, link, skip, main = self.elements[parent]
             if name not in VOID:
-                self.elements.append((parent, name, part_of(name, attributes, part) or part, link or name == "a", skip or name in SKIP))
+                part = part_of(name, attributes, part) or part
+                self.elements.append((parent, name, part, link or name == "a", skip or name in SKIP, main or part == "main"))
                 if not attributes.endswith("/") or name not in ("svg", "path"):
                     places[name].append(len(stack))
                     stack.append(len(self.elements) - 1)
@@ -209,7 +211,7 @@ def linked(page: Page, blocks: list[int]) -> set[int]:
 
 def feature(page: Page, element: int, dense: bool = True) -> tuple:
     """dense: whether the block is made up of links."""
-    _, _, part, link, skip = page.elements[element]
+    _, _, part, link, skip, _ = page.elements[element]
     return ("skip",) if skip else (part, link and dense)
 
 
@@ -275,7 +277,7 @@ def regions(page: Page, weights: dict, blocks: list[int], dense: set[int], other
                 name = feature(page, *f)
                 w = weight[f] = weights.get(("page", name[1]) if other and name[0] == "other" else name, -1.0)
             n = 0 if x == " " else len(x.split())
-            scores.append(w * n)
+            scores.append(0.0 if w < 0 and page.elements[y][5] else w * n)
             good.append(w > 0)
         counts.append(n)
     start, end = best_region(scores)
