@@ -233,14 +233,31 @@ def test_warc(spark, tmp_path):
     got = sorted(map(tuple, warc.read(spark, str(tmp_path / "w")).collect()), key=repr)
     kind = lambda i: ("revisit", 5) if i in (3, 4) else ("response", None)
     assert got == sorted(((i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), *kind(i)) for i, _, h in rows), key=repr)
-    parts = {}
-    for r in warc.read_chunks(spark, str(tmp_path / "w")).orderBy("page_id", "chunk").where("page_id = 1").collect():
-        parts.setdefault(r.chunk, []).append(bytes(r.data))
-    assert len(parts) > 50
+    parts = warc.read_chunks(spark, str(tmp_path / "w")).where("page_id = 1").orderBy("chunk").collect()
+    assert len(parts) > 50 and b"".join(r.data for r in parts) == big.encode() and all(len(r.data) <= 1000 for r in parts)
+    assert parts[9].digest == hashlib.sha1(big.encode()[:10_000]).hexdigest()
     warc.write(df.where("false"), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_any_bytes_at_chunk_ends(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, "u", "".join(rng.choice(["\r", "\n", "\r\n", "é", "日", "a", "\x00"]) for _ in range(rng.randrange(3000)))) for i in range(60)]
+    rows += [(i, "u", "\r" * n) for i, n in enumerate((6, 7, 8, 70_000), 60)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "page_id long, url string, html string, payload string, chunk int")
+    chunks = warc.chunk_rows(warc.records(df), ["page_id"], 7)
+    sizes = chunks.groupBy("page_id").agg(F.sum(F.octet_length("data")).alias("n"), F.max(F.octet_length("data")).alias("most"), F.sum(F.col("last").cast("int")).alias("ends")).collect()
+    assert {r.page_id: r.n for r in sizes} == {i: len(h.encode()) for i, _, h in rows} and all(r.most <= 7 and r.ends == 1 for r in sizes)
+    warc.write(df, str(tmp_path / "w"), chunk=7)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: (len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows}
+
+
+def test_warc_query(spark, data, duck):
+    columns = "page_id, payload_bytes, payload_digest, record_type, refers_to"
+    assert sorted(map(tuple, warc.op7_warc(spark, data).select(*columns.split(", ")).collect())) == sorted(duck.sql(f"SELECT {columns} FROM ({warc.ORACLE})").fetchall())
+
+
 def test_main_text_of_hostile_pages():
     import time
 
