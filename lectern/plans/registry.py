@@ -477,3 +477,6 @@ def names_evidence(read):
 @query("SELECT strategy AS id, CAST(n AS INTEGER) AS fields FROM (VALUES ('auto', 0), ('by_page', 0), ('sentence', 1), ('fixed_size', 2)) t(strategy, n)")
 def chunking_config(read):
     return options.config(read("region").sparkSession).select("id", F.size("fields").alias("fields"))
+
+
+from . import details  # noqa: E402,F401  registers further queries
