@@ -64,40 +64,45 @@ def generalised(path: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda x: F.regexp_replace(x, VARIABLE, "*$1"))
 
 
-def fit(urls: DataFrame) -> DataFrame:
-    """The rejected rest paths: (host, parts, template), from ``urls`` (host, path, bad); bad is null without a label."""
+def fit(urls: DataFrame, least: int = LEAST_LABELS, z: float = Z, least_purity: float = PURITY, weight: float = PRIOR) -> DataFrame:
+    """The rejected rest paths: (host, parts, template), from ``urls`` (host, path, bad); bad is null without a label.
+
+    A branch with ``least`` labels that differs from its siblings by ``z`` stays on its own; a template is rejected
+    under ``least_purity``, smoothed with ``weight`` observations of the purity of all.
+    """
     keys = urls.groupBy("host", generalised(F.col("path")).alias("parts")).agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     keys = save(keys.withColumn("prefix", F.lit("")), "templates")
     deepest = keys.agg(F.max(F.size("parts"))).first()[0] or 0
     for d in range(max(DEPTH, deepest)):
         at = ["host", "prefix"]
-        if d >= DEPTH and keys.groupBy(*at).agg(F.sum("labelled").alias("l"), F.max(F.size("parts")).alias("n")).where((F.col("l") > LEAST_LABELS) & (F.col("n") > d)).isEmpty():
+        if d >= DEPTH and keys.groupBy(*at).agg(F.sum("labelled").alias("l"), F.max(F.size("parts")).alias("n")).where((F.col("l") > least) & (F.col("n") > d)).isEmpty():
             break  # no template with segments left has the labels to part
         keys = keys.withColumn("part", F.coalesce(F.get("parts", F.lit(d)), F.lit("")))
         child = keys.groupBy(*at, "part").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         parent = child.groupBy(*at).agg(F.count("*").alias("fan"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         rest, pooled = F.col("pl") - F.col("l"), F.col("pb") / F.col("pl")
         gap = F.abs(F.col("b") / F.col("l") - (F.col("pb") - F.col("b")) / rest)
-        apart = (F.col("l") >= LEAST_LABELS) & (rest > 0) & (gap >= Z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / F.when(rest > 0, rest))))
+        apart = (F.col("l") >= least) & (rest > 0) & (gap >= z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / F.when(rest > 0, rest))))
         own = ~F.startswith("part", F.lit("*")) & ((F.col("fan") == 1) | F.coalesce(F.when((F.col("l") > 0) & (rest > 0), apart), F.lit(False)))
         named = child.join(parent, at).select(*at, "part", F.concat("prefix", F.lit("/"), F.when(own, F.col("part")).otherwise(F.lit("*"))).alias("next"))
         keys = save(keys.join(named, [*at, "part"]).select("host", "parts", "labelled", "bad", F.col("next").alias("prefix")), "templates")
     templates = keys.groupBy("host", "prefix").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     prior = templates.agg(F.coalesce(1 - F.sum("b") / F.nullif(F.sum("l"), F.lit(0)), F.lit(1.0)).alias("prior"))
-    purity = (F.col("l") - F.col("b") + PRIOR * F.col("prior")) / (F.col("l") + PRIOR)
-    rejected = templates.join(F.broadcast(prior)).where((F.col("l") > 0) & (purity < PURITY)).select("host", "prefix")
+    purity = (F.col("l") - F.col("b") + weight * F.col("prior")) / (F.col("l") + weight)
+    rejected = templates.join(F.broadcast(prior)).where((F.col("l") > 0) & (purity < least_purity)).select("host", "prefix")
     return keys.join(rejected, ["host", "prefix"]).select("host", "parts", F.concat("host", F.regexp_replace("prefix", TAIL, "$1")).alias("template"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, **settings) -> DataFrame:
     """(page_id, host, path, rule, verdict, template) of every row of ``pages`` (page_id, url).
 
     ``labels`` (doc_id, bad 0/1) names bad pages by the number in their path. template is the rejected one.
+    ``settings`` are those of :func:`fit`.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = labels.where("doc_id is not null and bad is not null").groupBy("doc_id").agg(F.max("bad").alias("bad"))
     numbered = rows.select("host", "path", number_of(F.col("path")).alias("doc_id"))
-    rejected = fit(numbered.join(known, "doc_id", "left"))
+    rejected = fit(numbered.join(known, "doc_id", "left"), **settings)
     rule, kind = matching_rule(F.col("host"), F.col("path"), rules)
     out = rows.withColumn("parts", generalised(F.col("path"))).join(rejected, ["host", "parts"], "left")
     verdict = F.coalesce(kind, F.when(F.col("template").isNotNull(), "block").otherwise("allow"))
