@@ -364,9 +364,20 @@ def address_unique_match(read):
     return address.unique_match(read("customer").select(n.alias("call_id"), spoken.alias("spoken"), known.alias("address_list"))).select("call_id", "match_count", "matched_index")
 
 
-@query()
+@query("""
+WITH t AS (SELECT c_custkey AS call_id, c_custkey % 9 + 1 AS b, c_custkey % 4 AS r, unnest([0, 1, 2, 3]) AS turn FROM customer),
+o AS (SELECT *, turn >= 2 AND r < 3 AS found, '我记录的地址信息是：' || CASE turn WHEN 0 THEN '云霄县，请您再说一下具体的小区或村镇名称。' ELSE '云霄县保利香槟，请您再说一下具体的楼栋号、单元号及门牌号。' END AS asked FROM t)
+SELECT call_id, CAST(turn AS INTEGER) AS turn, CASE turn WHEN 0 THEN '云霄县' WHEN 1 THEN '保利香槟' WHEN 2 THEN b || '号楼30' || (r + 1) ELSE '是的' END AS user_input,
+  CAST(CASE WHEN found THEN r ELSE -1 END AS INTEGER) AS matched_index, CAST(CASE WHEN found THEN 1 ELSE 3 END AS INTEGER) AS match_count,
+  found AND turn = 3 AS is_completed, false AS is_extract_failed, CASE WHEN found THEN '' ELSE asked END AS reply,
+  CASE WHEN found AND turn = 2 THEN '请问您说的是福建省漳州市云霄县保利香槟' || b || '栋30' || (r + 1) || '室吗？' WHEN found THEN '' ELSE asked END AS ai_context_reply,
+  CASE WHEN NOT found THEN 'matching' WHEN turn = 2 THEN 'confirming' ELSE 'completed' END AS state,
+  CASE WHEN turn = 0 THEN '云霄县' WHEN NOT found THEN '云霄县保利香槟' WHEN turn = 2 THEN '__NO_MERGE__:云霄县保利香槟' || b || '号楼30' || (r + 1) ELSE '' END AS last_unmatched_address,
+  '' AS last_unmatched_fragment, CAST(CASE WHEN turn = 0 THEN 1 WHEN r = 3 AND turn >= 2 THEN turn - 1 ELSE 0 END AS INTEGER) AS similar_no_match_count
+FROM o
+""")
 def address_dialogue(read):
-    """Three turns of each customer's call: a place, a building, a room."""
+    """Four turns of each customer's call: a county, a place, a building with its room, a yes."""
     n = F.col("c_custkey")
     known = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda r: F.concat(F.lit("福建省漳州市云霄县保利香槟"), (n % 9 + 1).cast("string"), F.lit("栋30"), r.cast("string"), F.lit("室")))
     said = F.array(F.lit("云霄县"), F.lit("保利香槟"), F.concat((n % 9 + 1).cast("string"), F.lit("号楼30"), (n % 4 + 1).cast("string")), F.lit("是的"))
