@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, html_text, jaccard_join, near_vectors, packing, pieces, substring_dedup, toxicity, url_filter, warc
+from . import bm25, html_text, jaccard_join, merkle, near_vectors, packing, pieces, substring_dedup, token_counts, toxicity, url_filter, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_bm25": bm25.op8_bm25,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_sentencepiece": pieces.op10_sentencepiece,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_merkle": merkle.op12_merkle,
+        "op13_token_counts": token_counts.op13_token_counts,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": url_filter.ORACLE,
         "op6_jaccard": jaccard_join.ORACLE,
         "op7_warc": warc.ORACLE,
+        "op12_merkle": merkle.ORACLE,
     }
