@@ -490,4 +490,4 @@ def chunking_config(read):
     return options.config(read("region").sparkSession).select("id", F.size("fields").alias("fields"))
 
 
-from . import details  # noqa: E402,F401  registers further queries
+from . import details, speech  # noqa: E402,F401  register further queries
