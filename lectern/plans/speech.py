@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import sounds
+from ..operators import reconcile, sounds
 from .registry import query
 
 # Characters by the last digit but one and by the last digit of a key, homophones of the former, and their syllables.
@@ -60,3 +60,36 @@ def address_wrappers(read):
     spoken = F.element_at(F.array(F.concat(F.lit("我住在"), "place"), F.concat(F.lit("宽又阔的"), "place"), F.concat("place", F.lit("北门")), F.concat(F.lit("北门的"), "place"), F.lit("一百楼一单元三零二"), F.concat("a", F.lit("留世家"))), F.col("kind") + 1)
     calls = rows.select("call_id", spoken.alias("spoken"), F.array(F.concat(F.lit("漳州市"), "place", F.lit("100号楼1单元302室"))).alias("address_list"))
     return sounds.cleaned(calls, sounds.sounding(_readings(read))).select("call_id", "clean")
+
+
+@query(_DIGITS.replace("% 6", "% 10") + f"""
+, t AS (SELECT *, a || b || '花园' AS garden, call_id % 9 + 1 AS n, call_id % 3 AS r FROM d),
+o AS (SELECT *, CASE WHEN kind IN (0, 1) THEN 'matched_said' WHEN kind IN (2, 8) THEN 'refused' WHEN kind IN (3, 4, 6) THEN 'recorded' WHEN kind = 5 THEN 'agreed' WHEN kind = 7 THEN 'refused_broad' ELSE 'matched' END AS ruling,
+  CASE kind WHEN 3 THEN n || '号楼30' || (r + 1) WHEN 4 THEN '云霄县' || garden WHEN 6 THEN garden || n || '栋' WHEN 5 THEN garden || n || '号楼' WHEN 7 THEN '北京市' WHEN 9 THEN '云霄县' || garden || n || '号楼30' || (r + 1) WHEN 2 THEN garden || n || '号楼309' WHEN 8 THEN garden || '77号楼301' ELSE garden || n || '号楼30' || (r + 1) END AS spoken FROM t)
+SELECT call_id, ruling, CAST(CASE WHEN kind IN (0, 1, 9) THEN r WHEN kind = 5 THEN 1 ELSE -1 END AS INTEGER) AS matched_index, CAST(CASE WHEN kind IN (0, 1, 5, 9) THEN 1 ELSE 0 END AS INTEGER) AS match_count,
+  CASE WHEN kind IN (2, 7, 8) THEN '请您提供正确完整的地址信息' WHEN kind = 9 THEN '请问您说的是' || spoken || '吗？' WHEN kind IN (0, 1, 5) THEN ''
+    ELSE '我记录的地址信息是：' || spoken || '，' || CASE kind WHEN 3 THEN '请您再说一下具体的小区或村镇名称。' WHEN 4 THEN '请您再说一下具体的楼栋号、单元号及门牌号。' ELSE '请您再说一下具体的单元号及门牌号。' END END AS reply,
+  CASE WHEN kind IN (0, 1, 5, 7, 9) THEN '__NO_MERGE__:' ELSE '' END || spoken AS next_text, CAST(CASE WHEN kind IN (3, 7) THEN 1 ELSE 0 END AS INTEGER) AS next_count FROM o
+""")
+def address_reconciled(read):
+    """Ten meetings of a model's result with what the candidates say: it finds none, the wrong one, one whose room or building does not
+    exist, one without a place, nothing for a follow-up, the right one, one of another building, and a fragment that is confirmed."""
+    rows = _calls(read).withColumn("kind", (F.floor(F.col("call_id") / 100) % 10).cast("int"))
+    n, r = (F.col("call_id") % 9 + 1).cast("string"), (F.col("call_id") % 3).cast("int")
+    garden, none = F.concat("a", "b", F.lit("花园")), F.lit("")
+    room = F.concat(F.lit("30"), (r + 1).cast("string"))
+    full = F.concat(garden, n, F.lit("号楼"), room)
+    case = lambda *values: F.element_at(F.array(*values), F.col("kind") + 1)
+    said = case(full, full, F.concat(garden, n, F.lit("号楼309")), F.concat(n, F.lit("号楼"), room), garden, F.concat(garden, n, F.lit("号楼")), F.concat(garden, n, F.lit("栋")), F.lit("北京市"), F.concat(garden, F.lit("77号楼301")), F.concat(n, F.lit("号楼"), room))
+    held = case(none, none, none, none, F.lit("云霄县"), none, none, none, none, F.concat(F.lit("云霄县"), garden))
+    index = case(F.lit(-1), (r + 1) % 3, r, r, F.lit(-1), F.lit(1), F.lit(3), F.lit(-1), r, r)
+    address = F.concat(F.lit("福建省漳州市云霄县"), garden)
+    known = F.array(*[F.concat(address, n, F.lit(f"栋30{k}室")) for k in (1, 2, 3)], F.concat(address, F.lit("55栋301室")))
+    fragment = F.when(F.col("kind") == 9, F.concat(garden, n, F.lit("栋"), room, F.lit("室")))
+    model = F.struct(index.cast("int").alias("matched_index"), F.when(index >= 0, 1).otherwise(0).alias("match_count"), F.lit(False).alias("is_completed"), fragment.alias("matched_address_fragment"), F.lit(None).cast("string").alias("reason"))
+    turns = rows.select(
+        "call_id", model.alias("llm_result"), F.lit(False).alias("meaningless"), F.lit("matching").alias("state"), F.lit(-1).alias("matched_index"), said.alias("clean_user_input"), held.alias("last_unmatched_address"),
+        F.lit("").alias("last_unmatched_fragment"), F.lit(0).alias("similar_no_match_count"), known.alias("address_list"),
+    )
+    found = reconcile.reconciled(turns)
+    return found.select("call_id", "ruling", *[F.col(f"outcome.{c}") for c in ("matched_index", "match_count", "reply")], F.col("outcome.next_last_unmatched_address").alias("next_text"), F.col("outcome.next_similar_no_match_count").alias("next_count"))

@@ -1,0 +1,139 @@
+"""A model's result against the candidates: recorded turns with their outcomes, and the reading of texts."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.operators import address, reconcile
+
+TURN = f"n int, llm_result {reconcile.MODEL}, meaningless boolean, state string, matched_index int, clean_user_input string, last_unmatched_address string, last_unmatched_fragment string, similar_no_match_count int, address_list array<string>"
+# Candidates and turns as recorded, with what each turn leads to.
+HE = ["安徽省合肥市庐江县汤池镇百花小区9栋1109", "安徽省合肥市庐江县汤池镇百花小区9栋1110"]
+FU = ["福州市岳峰镇保利香槟国际东区三号楼1201", "福州市岳峰镇保利香槟国际东区三号楼1200"]
+GU = ["福建省福州市鼓楼区中山路保利香槟国际八号楼2103", "福建省福州市鼓楼区中山路保利香槟国际八号楼2101"]
+SHEN = ["广东省深圳市中山路八号楼2103", "广东省深圳市中山路八号楼2102"]
+TAI = ["移机费50元山西太原市尖草坪区卧虎山路柏翠苑1号楼5单元202室", "山西太原市尖草坪区卧虎山路柏翠苑4号楼2单元102室", "移机费50元山西太原市尖草坪区江阳商业街江阳化工厂100号楼1单元302室"]
+ROAD = ["中山路3号楼2101", "中山路3号楼2102"]
+MIX = ["中山路3号楼2101", "福州市岳峰镇保利香槟国际东区三号楼1201"]
+XIANG = ["福建三明龙溪城区东三路4号香江悦府1幢1层401"]
+CHAO = ["北京市朝阳区建国路88号现代城5号楼1单元101室", "北京市朝阳区建国路88号现代城5号楼1单元105室"]
+CHU = ["湖北省武汉市武昌区中北路1号楚天传媒大厦B座2004室"]
+PLACE, LAYER = "请您再说一下具体的小区或村镇名称。", "好的，请您再说一下具体的小区或村镇名称。"
+NOTHING = (-1, 0, False, None, None)
+
+
+def said(text, known, model=NOTHING, **more):
+    return dict(clean_user_input=text, address_list=known, llm_result=model) | more
+
+
+def fragment(text, index=-1, count=0, reason=None):
+    return (index, count, False, text, reason)
+
+
+def recorded(text, ask):
+    return f"我记录的地址信息是：{text}，{ask}"
+
+
+def matched(index, text):
+    return dict(matched_index=index, match_count=1, reply="", next_last_unmatched_address=address.NO_MERGE + text, next_similar_no_match_count=0)
+
+
+TURNS = {
+    "two broad regions that no candidate has": (said("大同区", HE, last_unmatched_address="北京市", similar_no_match_count=1), dict(reply="", next_last_unmatched_address="", next_similar_no_match_count=0)),
+    "regions follow each other": (said("庐江县", HE, last_unmatched_address="合肥市", similar_no_match_count=1), dict(reply=recorded("合肥市庐江县", PLACE), next_last_unmatched_address="合肥市庐江县", next_similar_no_match_count=0)),
+    "precise and unmatched": (said("北京市大同区百花小区9栋1109", HE), dict(reply="请您提供正确完整的地址信息", next_last_unmatched_address="北京市大同区百花小区9栋1109")),
+    "a city after the end": (said("福州市", FU, state="completed", matched_index=0), dict(reply=recorded("福州市", PLACE), next_last_unmatched_address="福州市", next_similar_no_match_count=1)),
+    "levels left out, the model is right": (said("安徽省汤池镇百花小区9栋1109", HE, (0, 1, False, None, None), last_unmatched_address="安徽省汤池镇", similar_no_match_count=1), matched(0, "安徽省汤池镇百花小区9栋1109")),
+    "levels left out, the model finds none": (said("安徽省庐江县百花小区9栋1109", HE, last_unmatched_address="安徽省庐江县", similar_no_match_count=1), matched(0, "安徽省庐江县百花小区9栋1109")),
+    "town, place, room, the model finds none": (said("汤池镇百花小区9栋1109", HE), matched(0, "汤池镇百花小区9栋1109")),
+    "the room is another candidate's": (said("州市鼓楼区保利香槟国际8号楼2101", GU, (0, 1, False, None, None)), matched(1, "州市鼓楼区保利香槟国际8号楼2101")),
+    "the room is no candidate's": (said("州市鼓楼区保利香槟国际8号楼2101", GU[:1], (0, 1, False, None, None)), dict(matched_index=-1, match_count=0, reply="请您提供正确完整的地址信息", next_last_unmatched_address="州市鼓楼区保利香槟国际8号楼2101", next_similar_no_match_count=0)),
+    "no to a confirmation": (said("不是", HE, state="confirming", matched_index=0), dict(matched_index=-1, match_count=0, reply="请您提供详细的地址信息")),
+    "yes to a confirmation": (said("是的", TAI, fragment("江阳化工厂100号楼1单元302室", 2, 1, "true"), state="confirming", matched_index=2, last_unmatched_address="__NO_MERGE__:江阳化工厂一百楼一单元三零二", last_unmatched_fragment=""),
+        dict(matched_index=2, match_count=1, is_completed=True, is_extract_failed=False, matched_address_fragment="", reason="", reply="", ai_context_reply="", next_last_unmatched_address="", next_last_unmatched_fragment="", next_similar_no_match_count=0)),
+    "no after the end": (said("错了", FU, state="completed", matched_index=0), dict(matched_index=-1, match_count=0, reply=LAYER)),
+    "a place after its town": (said("保利香槟", FU, last_unmatched_address="福州市岳峰镇", similar_no_match_count=1), dict(reply=recorded("福州市岳峰镇保利香槟", "请您再说一下具体的楼栋号、单元号及门牌号。"), next_last_unmatched_address="福州市岳峰镇保利香槟")),
+    "the model's fragment": (said("保利香槟", FU, fragment("福州市岳峰镇保利香槟"), last_unmatched_address="福州市岳峰镇", similar_no_match_count=1), dict(next_last_unmatched_address="福州市岳峰镇保利香槟", matched_address_fragment="福州市岳峰镇保利香槟")),
+    "no prefix that was not said": (said("朝阳区建国路88号", CHAO, last_unmatched_address="朝阳区", similar_no_match_count=1), dict(reply=recorded("朝阳区建国路88号", PLACE), next_last_unmatched_address="朝阳区建国路88号")),
+    "a place": (said("保利香槟国际", FU, matched_index=0, state=""), dict(reply=recorded("保利香槟国际", "请您再提供下楼栋号、单元号及门牌号信息"), next_last_unmatched_address="保利香槟国际", next_similar_no_match_count=0)),
+    "a place instead of an area": (said("保利香槟", FU, last_unmatched_address="东区", similar_no_match_count=1), dict(reply=recorded("保利香槟", "请您再提供下楼栋号、单元号及门牌号信息"), next_last_unmatched_address="保利香槟", next_similar_no_match_count=0)),
+    "place, building in Chinese, room": (said("保利香槟三号楼1201", FU, last_unmatched_address="保利香槟", similar_no_match_count=1), matched(0, "保利香槟三号楼1201")),
+    "a place after building and room": (said("保利香槟", FU, last_unmatched_address="三号楼1201", similar_no_match_count=1), matched(0, "保利香槟三号楼1201")),
+    "an area behind the room": (said("三号楼1201东区保利香槟", FU, last_unmatched_address="三号楼1201东区"), matched(0, "三号楼1201东区保利香槟")),
+    "fragments of different candidates": (said("保利香槟", MIX, last_unmatched_address="中山路", similar_no_match_count=1), dict(reply=recorded("保利香槟", "请您再提供下楼栋号、单元号及门牌号信息"), next_last_unmatched_address="保利香槟", next_similar_no_match_count=0)),
+    "merged before": (said("保利香槟三号楼1201", FU, last_unmatched_address="三号楼1201", similar_no_match_count=1), matched(0, "保利香槟三号楼1201")),
+    "a road": (said("中山路", ROAD, matched_index=0, state=""), dict(reply=recorded("中山路", PLACE), next_last_unmatched_address="中山路", next_similar_no_match_count=0)),
+    "building and room": (said("8号楼2102", SHEN, matched_index=0, state=""), dict(reply=recorded("8号楼2102", PLACE), next_last_unmatched_address="8号楼2102", next_similar_no_match_count=1)),
+    "building and room, the model is sure": (said("8号楼2102", SHEN, (1, 1, False, None, None)), dict(matched_index=-1, match_count=0, reply=recorded("8号楼2102", PLACE), next_last_unmatched_address="8号楼2102", next_similar_no_match_count=1)),
+    **{f"building markers: {x}": (said(x, TAI, (2, 1, False, None, None)), dict(matched_index=-1, match_count=0, reply=recorded(x, PLACE), next_last_unmatched_address=x, next_similar_no_match_count=0)) for x in ("一百楼一单元三零二", "100栋1单元302室", "100号1单元302室")},
+    "another building's number": (said("101楼1单元302室", ["山西太原市尖草坪区江阳化工厂100号楼1单元302室"], (0, 1, False, None, None)), dict(matched_index=-1, match_count=0)),
+    "a room after its building": (said("三号楼1201", FU, last_unmatched_address="三号楼", similar_no_match_count=1), dict(matched_index=-1, match_count=0, reply=recorded("三号楼1201", PLACE), next_last_unmatched_address="三号楼1201", next_similar_no_match_count=1)),
+    "a room after its building, the model is sure": (said("三号楼1201", FU, (0, 1, False, None, None), last_unmatched_address="三号楼", similar_no_match_count=1), dict(matched_index=-1, match_count=0, reply=recorded("三号楼1201", PLACE), next_last_unmatched_address="三号楼1201", next_similar_no_match_count=1)),
+    "several matches": (said("三号楼1201", FU, fragment("三号楼1201", -1, 2), last_unmatched_address="三号楼", last_unmatched_fragment="三号楼"),
+        dict(matched_index=-1, match_count=2, matched_address_fragment="三号楼1201", reply=recorded("三号楼1201", PLACE), ai_context_reply=recorded("三号楼1201", PLACE), next_last_unmatched_address="三号楼1201", next_last_unmatched_fragment="三号楼1201", next_similar_no_match_count=0)),
+    "the model's context has the candidate's words": (said("一百楼一单元三零二", TAI, fragment("100号楼1单元302室", reason="one"), matched_index=0, state="", last_unmatched_fragment=""),
+        dict(reply=recorded("一百楼一单元三零二", "请您再提供下小区名称或楼宇名称"), ai_context_reply=recorded("100号楼1单元302室", "请您再提供下小区名称或楼宇名称"), next_last_unmatched_address="一百楼一单元三零二", next_last_unmatched_fragment="100号楼1单元302室")),
+    "a match in the caller's words": (said("一百楼一单元三零二江阳化工厂", TAI, fragment("江阳化工厂100号楼1单元302室", 2, 1, "true"), last_unmatched_address="一百楼一单元三零二", last_unmatched_fragment="100号楼1单元302室"),
+        dict(reply="请问您说的是一百楼一单元三零二江阳化工厂吗？", ai_context_reply="请问您说的是江阳化工厂100号楼1单元302室吗？", next_last_unmatched_address="__NO_MERGE__:一百楼一单元三零二江阳化工厂")),
+    "a fragment given again": (said("江阳小区", TAI[2:], fragment("100号楼1单元302室", reason="one"), last_unmatched_address="一百楼一单元三零二", last_unmatched_fragment="100号楼1单元302室"),
+        dict(reply=recorded("一百楼一单元三零二", "请您再提供下小区名称或楼宇名称"), ai_context_reply=recorded("100号楼1单元302室", "请您再提供下小区名称或楼宇名称"), next_last_unmatched_address="一百楼一单元三零二")),
+    "nothing supported": (said("随便一句", [], fragment("", reason=""), last_unmatched_fragment=""), dict(reply="请你提供详细的地址信息", ai_context_reply="请你提供详细的地址信息", matched_address_fragment="", next_last_unmatched_address="", next_last_unmatched_fragment="")),
+    "a fragment given again to chatter": (said("保留香槟", FU, fragment("三号楼1201"), meaningless=True, last_unmatched_address="三号楼1201", last_unmatched_fragment="三号楼1201", similar_no_match_count=1),
+        dict(is_extract_failed=True, matched_index=-1, match_count=0, matched_address_fragment="", reply="", next_last_unmatched_address="", next_last_unmatched_fragment="", next_similar_no_match_count=2)),
+    "a reason that the model left out": (said("江阳小区", TAI[2:], fragment("100号楼1单元302室", reason=""), last_unmatched_address="100号楼1单元302室", last_unmatched_fragment="100号楼1单元302室"), dict(matched_index=-1, match_count=0, matched_address_fragment="100号楼1单元302室", reason="one", next_last_unmatched_fragment="100号楼1单元302室")),
+    "another place after a place": (said("江阳小区", TAI, fragment("一百楼一单元三零二江阳化工厂", reason="one"), last_unmatched_address="一百楼一单元三零二江阳化工厂", last_unmatched_fragment="一百楼一单元三零二江阳化工厂", similar_no_match_count=1),
+        dict(matched_index=-1, match_count=0, is_completed=False, matched_address_fragment="", reason="", next_last_unmatched_fragment="")),
+    "a road with a house is no place": (said("中北路1号", CHU, fragment("中北路1号", reason="two")), dict(matched_address_fragment="中北路1号", reason="")),
+    "a building's name is one": (said("楚天传媒大厦", CHU, fragment("楚天传媒大厦", reason="")), dict(matched_address_fragment="楚天传媒大厦", reason="two")),
+    "a name with a room": (said("楚天传媒大厦B座2004室", CHU, fragment("楚天传媒大厦B座2004室", 0, 1, "")), dict(matched_address_fragment="楚天传媒大厦B座2004室", reason="true")),
+    "a road before building and room": (said("中山路", SHEN, last_unmatched_address="8号楼2102", similar_no_match_count=1), matched(1, "中山路8号楼2102")),
+    "a broad region": (said("北京市", SHEN, matched_index=0, state=""), dict(reply="请您提供正确完整的地址信息", next_last_unmatched_address="__NO_MERGE__:北京市", next_similar_no_match_count=1)),
+    "another broad region": (said("广东省", FU), dict(reply="请您提供正确完整的地址信息", next_last_unmatched_address="__NO_MERGE__:广东省", next_similar_no_match_count=1)),
+    "a broad region again": (said("广东省", FU, last_unmatched_address="__NO_MERGE__:广东省", similar_no_match_count=1), dict(is_extract_failed=True, reply="", next_last_unmatched_address="", next_similar_no_match_count=0)),
+    "a region without its suffix": (said("三明", XIANG), dict(matched_index=-1, reply=recorded("三明", PLACE), next_last_unmatched_address="三明", next_similar_no_match_count=0)),
+    "its district": (said("龙溪城区", XIANG, last_unmatched_address="三明"), dict(reply=recorded("三明龙溪城区", PLACE), next_last_unmatched_address="三明龙溪城区", next_similar_no_match_count=0)),
+    "its road, the model is sure": (said("东三路", XIANG, (0, 1, False, None, None), last_unmatched_address="三明龙溪城区"), dict(matched_index=-1, match_count=0, reply=recorded("三明龙溪城区东三路", PLACE), next_last_unmatched_address="三明龙溪城区东三路", next_similar_no_match_count=0)),
+    "its house, the model is sure": (said("4号", XIANG, (0, 1, False, None, None), last_unmatched_address="三明龙溪城区东三路"), dict(matched_index=-1, match_count=0, reply=recorded("三明龙溪城区东三路4号", PLACE), next_last_unmatched_address="三明龙溪城区东三路4号", next_similar_no_match_count=0)),
+    "a town with nothing known": (said("汤池镇", []), dict(reply=recorded("汤池镇", PLACE), next_last_unmatched_address="汤池镇", next_similar_no_match_count=1)),
+    "a room that its building lacks": (said("1203", ROAD, last_unmatched_address="中山路3号楼", similar_no_match_count=1), dict(reply=recorded("中山路3号楼", "请您再提供下门牌号信息"), next_last_unmatched_address="中山路3号楼", next_similar_no_match_count=2)),
+    "a building after its road": (said("中山路3号楼", ROAD, last_unmatched_address="中山路:", similar_no_match_count=1), dict(reply=recorded("中山路3号楼", "请您再提供下门牌号信息"))),
+    "region and place": (said("福州市岳峰镇保利香槟国际", FU), dict(reply=recorded("福州市岳峰镇保利香槟国际", "请您再说一下具体的楼栋号、单元号及门牌号。"), next_last_unmatched_address="福州市岳峰镇保利香槟国际")),
+    "a corrected county": (said("云霄县", ["福建漳州云霄县莆美镇大埔村352", "福建漳州云霄县常山农场树洞村123"]), dict(reply=recorded("云霄县", PLACE), next_last_unmatched_address="云霄县")),
+    "a precise suffix": (said("汤池镇百花小区9栋1109", HE, matched_index=0), matched(0, "汤池镇百花小区9栋1109")),
+}
+
+
+@pytest.fixture(scope="module")
+def outcomes(spark):
+    names = [x.split()[0] for x in TURN.replace(reconcile.MODEL, "m").split(", ")]
+    rows = [tuple((turn | {"n": i}).get(c, "matching" if c == "state" else False if c == "meaningless" else None) for c in names) for i, (turn, _) in enumerate(TURNS.values())]
+    return {r.n: r for r in reconcile.reconciled(spark.createDataFrame(rows, TURN)).collect()}
+
+
+@pytest.mark.parametrize("name", TURNS)
+def test_turn(outcomes, name):
+    r = outcomes[list(TURNS).index(name)]
+    got = r.outcome.asDict()
+    want = TURNS[name][1]
+    assert {k: got[k] for k in want} == want, r.ruling
+
+
+def test_odd_rows(spark):
+    """Nulls throughout, candidates that are null, a model result that is null: one that found nothing."""
+    row = (1, None, None, None, None, None, None, None, None, None)
+    df = spark.createDataFrame([row, (2, None, None, None, None, "保利香槟", None, None, None, [None, "", FU[0]])], TURN)
+    got = {r.n: r.outcome for r in reconcile.reconciled(df).collect()}
+    assert (got[1].matched_index, got[1].match_count, got[1].reply) == (-1, 0, "请您提供详细的地址信息")
+    assert got[2].reply == recorded("保利香槟", "请您再提供下楼栋号、单元号及门牌号信息")
+    assert reconcile.reconciled(df.where("false")).count() == 0
+
+
+def test_canonical(spark):
+    cases = ["江阳化工厂一百楼一单元三零二", "Ａ座，二十号楼 十五层", "一千零二十号", "三明市二七区", "乱七八糟公园路", "百花小区两栋", "", None, "一二"]
+    df = spark.createDataFrame([(x,) for x in cases], "t string").select(reconcile.canonical(F.col("t")).alias("c"))
+    assert [r.c for r in df.collect()] == ["江阳化工厂100#1单元302", "A座20#15层", "1020#", "三明市二七区", "乱七八糟公园路", "百花小区2#", "", None, "12"]
+    assert [address.canonical(x) for x in cases if x is not None] == [r.c for r in df.collect() if r.c is not None]
+
+
+def test_merged(spark):
+    df = spark.createDataFrame([("A120", "1201"), (FU[0][:-1], "1201"), ("东区", "保利东区"), ("保利东区", "东区"), ("", "x"), ("x", "")], "a string, b string")
+    assert [r[0] for r in df.select(reconcile.merged(F.col("a"), F.col("b"))).collect()] == ["A1201", FU[0], "保利东区", "保利东区", "x", "x"]
