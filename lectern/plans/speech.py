@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import reconcile, sounds
+from ..operators import prompts, reconcile, sounds
 from .registry import query
 
 # Characters by the last digit but one and by the last digit of a key, homophones of the former, and their syllables.
@@ -93,3 +93,31 @@ def address_reconciled(read):
     )
     found = reconcile.reconciled(turns)
     return found.select("call_id", "ruling", *[F.col(f"outcome.{c}") for c in ("matched_index", "match_count", "reply")], F.col("outcome.next_last_unmatched_address").alias("next_text"), F.col("outcome.next_similar_no_match_count").alias("next_count"))
+
+
+@query(_DIGITS.replace("% 6", "% 5") + """
+, t AS (SELECT *, a || b || '花园' AS garden, call_id % 9 + 1 AS n FROM d),
+o AS (SELECT *, CASE kind WHEN 3 THEN '301' WHEN 4 THEN '南山公寓' ELSE garden END AS clean, CASE kind WHEN 0 THEN '' WHEN 1 THEN n || '号楼301' WHEN 2 THEN '云霄县' WHEN 3 THEN garden || n || '号楼30' ELSE garden END AS before,
+  '漳州市' || garden || n || '号楼301' AS first FROM t),
+m AS (SELECT *, CASE kind WHEN 1 THEN before || clean WHEN 3 THEN garden || n || '号楼301' ELSE '' END AS merged FROM o)
+SELECT call_id, clean, CASE WHEN merged <> '' THEN merged ELSE clean END AS effective, merged, '漳州市' || garden AS base_address,
+  'state=matching' || chr(10) || 'matched_index=-1' || chr(10) || 'clean_user_input=' || clean || chr(10) || CASE WHEN before <> '' THEN 'last_unmatched_address=' || before || chr(10) ELSE '' END
+  || CASE WHEN kind = 2 THEN 'last_matched_address_fragment=云霄县' || chr(10) ELSE '' END
+  || CASE WHEN merged <> '' THEN 'candidate_combined_user_scope_if_supplement=' || merged || chr(10) ELSE '' END || '本轮 User 只表示 clean_user_input，不包含上一轮内容。' || chr(10)
+  || CASE WHEN before <> '' THEN '请先判断 clean_user_input 是对上一轮片段的补充还是重新说明；若是补充，不能只输出 clean_user_input 本轮片段，应输出合并后的片段。' || chr(10) ELSE '' END
+  || CASE WHEN kind = 4 THEN '本轮地点主体校验：candidate_supports_current_anchor=false；matched_address_fragment 应按提示词中无候选支持或上一轮结果的规则处理。' || chr(10) ELSE '' END
+  || 'candidates_info=[{"index": 0, "clean_address": "' || first || '", "base_address": "漳州市' || garden || '"}, {"index": 1, "clean_address": "云霄县九里路8号楼", "base_address": "云霄县九里路"}]' || chr(10)
+  || 'clean_user_input: ' || clean || chr(10) || 'User: ' || clean AS message FROM m
+""")
+def address_messages(read):
+    """What a model is asked: a place with an introduction, after its building and room, after a county of another candidate, a room that
+    overlaps what was left open, a residence that no candidate has."""
+    rows = _calls(read).withColumn("kind", (F.floor(F.col("call_id") / 100) % 5).cast("int"))
+    n, garden = (F.col("call_id") % 9 + 1).cast("string"), F.concat("a", "b", F.lit("花园"))
+    case = lambda *values: F.element_at(F.array(*values), F.col("kind") + 1)
+    said = case(F.concat(F.lit("我住在"), garden), garden, garden, F.lit("301"), F.lit("南山公寓"))
+    before = case(F.lit(""), F.concat(n, F.lit("号楼301")), F.lit(""), F.concat(garden, n, F.lit("号楼30")), garden)
+    known = F.array(F.concat(F.lit("漳州市"), garden, n, F.lit("号楼301")), F.lit("云霄县九里路8号楼"))
+    calls = rows.select("call_id", said.alias("user_input"), F.lit("matching").alias("state"), F.lit(-1).alias("matched_index"), before.alias("last_unmatched_address"), F.when(F.col("kind") == 2, "云霄县").alias("last_unmatched_fragment"), F.lit(0).alias("similar_no_match_count"), known.alias("address_list"))
+    found = prompts.built(calls, sounds.sounding(_readings(read)))
+    return found.select("call_id", F.col("built.clean_user_input").alias("clean"), F.col("built.effective_match_input").alias("effective"), F.col("built.possible_merged_input").alias("merged"), F.col("candidates_info")[0]["base_address"].alias("base_address"), F.col("built.user_message").alias("message"))
