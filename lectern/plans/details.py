@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import options, tables, text
+from ..functions import options, table_functions, tables, text
 from ..operators import assistant, chunking, layout, names, rsa
 from ..sources import catalog, docx, files
-from .registry import _SQL, _boxes, query
+from .registry import _SQL, _WINDOWS, _boxes, query
 
 
 def _folder(spark: SparkSession) -> str:
@@ -235,3 +235,21 @@ def rsa_round_trip(read) -> DataFrame:
     n, e = p * q, 65537
     sealed = rsa.encrypted(F.repeat(F.concat("s_name", F.lit(" é ")), F.lit(10)), n, e)
     return read("supplier").select("s_suppkey", sealed.alias("sealed")).select("s_suppkey", rsa.recovered(F.col("sealed"), n, pow(e, -1, (p - 1) * (q - 1)), (n.bit_length() + 7) // 8).alias("text"))
+
+
+# Table functions
+
+
+@query(_WINDOWS.format(size=90, step=60))
+def udtf_fixed_size(read):
+    """The chunker as a table function of SQL."""
+    docs = read("documents")
+    table_functions.register(docs.sparkSession)
+    return docs.sparkSession.sql("SELECT * FROM chunk_fixed_size(TABLE(SELECT doc_id, 1 AS page_number, text FROM {docs}), chunk_size => 90, overlap => 30)", docs=docs)
+
+
+@query(_SQL["chunk_sentence"])
+def udtf_sentence(read):
+    docs = read("documents")
+    table_functions.register(docs.sparkSession)
+    return docs.sparkSession.sql("SELECT * FROM chunk_sentence(TABLE(SELECT doc_id, 1 AS page_number, text FROM {docs}))", docs=docs)
