@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import options, table_functions, tables, text
 from ..operators import assistant, chunking, layout, names, rsa
-from ..sources import catalog, docx, files
+from ..sources import asset_source, catalog, docx, files
+from ..streaming import arrivals, dialogue
 from .registry import _SQL, _WINDOWS, _boxes, query
 
 
@@ -76,6 +77,31 @@ def catalog_deleted(read):
     return catalog.scan(spark, folder).select("run_id", catalog.file_name(F.col("path")).alias("name"))
 
 
+@query("SELECT 'assets/r' || s_suppkey % 7 || '/n' || s_suppkey || '_p1_img1.jpg' AS path, strlen(s_name || '/' || s_suppkey)::BIGINT AS size_bytes, sha256(s_name || '/' || s_suppkey) AS digest FROM supplier WHERE s_suppkey % 5 <> 0")
+def assets_written(read):
+    """Images of suppliers, four of five with bytes, written as files and read back by the data source."""
+    rows, n = read("supplier"), F.col("s_suppkey").cast("string")
+    data = F.concat("s_name", F.lit("/"), n).cast("binary")
+    images = rows.select(F.concat(F.lit("r"), (F.col("s_suppkey") % 7).cast("string")).alias("run_id"), F.concat(F.lit("n"), n, F.lit(".pdf")).alias("filename"), F.lit(1).alias("page"), F.lit(1).alias("image_number"), F.lit("JPG").alias("ext"), F.when(F.col("s_suppkey") % 5 != 0, data).alias("bytes"))
+    root = _folder(rows.sparkSession)
+    catalog.save_assets(images, root)
+    asset_source.register(rows.sparkSession)
+    return rows.sparkSession.read.format("lectern_assets").load(root).select("path", "size_bytes", F.sha2("bytes", 256).alias("digest"))
+
+
+@query("SELECT 's_suppkey=' || s_suppkey AS part, CAST(1 AS BIGINT) AS total_pages, CAST(len(list_filter(regexp_split_to_array(s_name || ' is  one of ' || s_suppkey, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM supplier")
+def files_arriving(read):
+    """Each supplier's text as a file that a stream takes into a catalog; what the catalog then has."""
+    rows = read("supplier")
+    spark, folder = rows.sparkSession, _folder(rows.sparkSession)
+    rows.select(F.concat("s_name", F.lit(" is  one of "), F.col("s_suppkey").cast("string")).alias("value"), "s_suppkey").write.partitionBy("s_suppkey").text(folder + "/in")
+    stream = dialogue.arriving_files(spark, folder + "/in/*", "*.txt")
+    name = F.concat(F.regexp_extract("path", r"(s_suppkey=\d+)/", 1), F.lit(".txt"))
+    arrivals.to_catalog(stream, folder + "/catalog", folder + "/check", chunking_strategy="fixed_size", options={"chunk_size": 3, "overlap": 0}, name=name).awaitTermination()
+    words = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c["metadata"]["word_count"])
+    return catalog.scan(spark, folder + "/catalog").select(F.regexp_replace("filename", r"\.txt$", "").alias("part"), F.col("metadata.total_pages").alias("total_pages"), words.alias("words"))
+
+
 # A list whose first level counts in decimals and whose second in letters behind them.
 _LIST = (
     '<w:abstractNum w:abstractNumId="1"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1."/></w:lvl>'
