@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import utf16_length, utf16_prefix
@@ -107,6 +107,12 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.orderBy("conv_id", F.desc("score"), F.desc("count"), F.collate("name", "zh"))
 
 
+def places(found: DataFrame) -> DataFrame:
+    """``found`` with ``place``: a name's rank in its conversation, from 1, in the order of :func:`ranked`."""
+    order = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("count"), F.collate("name", "zh"))
+    return found.withColumn("place", F.row_number().over(order))
+
+
 def totals(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.size(lines(F.col("text"))).alias("total_lines"), utf16_length(normalized(F.col("text"))).alias("total_characters"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import options, table_functions, tables, text
-from ..operators import assistant, chunking, layout, names, rsa
+from ..operators import assistant, chunking, layout, names, rsa, table_finder
 from ..sources import asset_source, catalog, docx, files
 from ..streaming import arrivals, dialogue
 from .registry import _SQL, _WINDOWS, _boxes, query
@@ -279,3 +279,83 @@ def udtf_sentence(read):
     docs = read("documents")
     table_functions.register(docs.sparkSession)
     return docs.sparkSession.sql("SELECT * FROM chunk_sentence(TABLE(SELECT doc_id, 1 AS page_number, text FROM {docs}))", docs=docs)
+
+
+# Tables by the places of words
+
+
+@query("""
+SELECT p_partkey, CAST(1 AS INTEGER) AS table_number, CASE WHEN p_partkey % 4 = 0 THEN '|ruled|x|' || chr(10) || '|---|---|' || chr(10) || '|' || p_brand || '|y|'
+  ELSE '|Part name|Kind|Size|' || chr(10) || '|---|---|---|' || chr(10) || '|' || p_name || '|' || p_type || '|' || p_size || '|' || chr(10) || '|' || p_brand || '||x|' END AS markdown,
+  CASE WHEN p_partkey % 4 = 0 THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END AS x0 FROM part
+""")
+def tables_by_words(read):
+    """Each part as a page of words: a sentence and a table without rules; a fourth of the pages has a ruled table, which goes before."""
+    rows = read("part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), "p_name", "p_type", "p_brand", F.col("p_size").cast("string").alias("size"))
+    lines = [((10, 10), F.lit("A sentence of some words")), ((10, 40), F.lit("Part name")), ((300, 41), F.lit("Kind")), ((600, 39), F.lit("Size")), ((10, 60), F.col("p_name")), ((300, 60), F.col("p_type")), ((600, 60), F.col("size")), ((10, 80), F.col("p_brand")), ((600, 81), F.lit("x"))]
+    held = rows.select("doc_id", "page", F.explode(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.split(t, " ").alias("words")) for (x, y), t in lines])).alias("at"))
+    held = held.select("doc_id", "page", "at.x", "at.y", "at.words", F.posexplode("at.words").alias("k", "text"))
+    left = F.col("x") + 5 * F.aggregate(F.slice("words", F.lit(1), F.col("k")), F.lit(0), lambda n, w: n + F.length(w) + 1)
+    words = held.select("doc_id", "page", left.alias("x0"), F.col("y").alias("y0"), (left + 5 * F.length("text")).alias("x1"), (F.col("y") + 10).alias("y1"), "text")
+    row = lambda *x: F.array(*x)
+    ruled = rows.where("doc_id % 4 = 0").select("doc_id", "page", F.lit(1).alias("table_number"), *[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")], F.array(row(F.lit("ruled"), F.lit("x")), row(F.col("p_brand"), F.lit("y"))).alias("cells"))
+    return table_finder.detected(ruled, words).select(F.col("doc_id").alias("p_partkey"), "table_number", tables.markdown(F.col("cells")).alias("markdown"), "x0")
+
+
+# Forms, ranks, configuration, fallbacks
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN ['max_chars must be an integer'] ELSE list_filter([
+  CASE WHEN l_linenumber % 2 = 0 AND l_partkey % 200 < 100 THEN 'max_chars must be at least 100' END, CASE WHEN l_linenumber % 2 = 1 AND l_orderkey % 5 < 1 THEN 'chunk_size must be positive' END,
+  CASE WHEN l_linenumber % 2 = 1 AND (l_suppkey % 7 - 1 < 0 OR l_suppkey % 7 - 1 >= l_orderkey % 5) THEN 'overlap must be from 0 to chunk_size - 1' END], lambda x: x IS NOT NULL) END AS errors FROM lineitem
+""")
+def chunking_forms(read):
+    """Each line item as an upload form with the numbers of its row."""
+    line = F.col("l_linenumber")
+    strategy = F.when(line % 2 == 0, "sentence").otherwise("fixed_size")
+    most = F.when(line % 4 == 3, "1.5").otherwise((F.col("l_partkey") % 200).cast("string"))
+    errors = options.chunking_errors(strategy, most, F.concat(F.lit(" "), (F.col("l_orderkey") % 5).cast("string")), (F.col("l_suppkey") % 7 - 1).cast("string"))
+    return read("lineitem").select("l_orderkey", "l_linenumber", errors.alias("errors"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'by_page' WHEN 1 THEN 'sentence' ELSE 'fixed_size' END AS id FROM documents)
+SELECT id, CAST(count(*) AS BIGINT) AS documents, CAST(CASE id WHEN 'by_page' THEN 0 WHEN 'sentence' THEN 1 ELSE 2 END AS INTEGER) AS fields, CASE id WHEN 'sentence' THEN 1200 WHEN 'fixed_size' THEN 400 END AS first_default FROM d GROUP BY id
+""")
+def configured_documents(read):
+    """The chunking configuration of the documents' strategies: a PDF's and a DOCX file's defaults, and one that was asked for."""
+    docs = read("documents")
+    kind = F.when(F.col("doc_id") % 3 == 0, "pdf").when(F.col("doc_id") % 3 == 1, "docx")
+    asked = F.when(F.col("doc_id") % 3 == 2, " Fixed_Size ").otherwise("")
+    used = docs.select(options.chunking_strategy(asked, kind).alias("id")).groupBy("id").agg(F.count("*").alias("documents"))
+    return used.join(options.config(docs.sparkSession), "id").select("id", "documents", F.size("fields").alias("fields"), F.get("fields", F.lit(0))["default"].alias("first_default"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey AS conv_id, array_to_string([upper(left(x, 1)) || lower(x[2:]) FOR x IN string_split(p_name, ' ')], ' ') AS name FROM part),
+n AS (SELECT conv_id, 'Zoe Adams' AS name, 9 AS score, 2 AS count, '英文自述' AS label FROM t UNION ALL SELECT conv_id, 'Abe Stone', 4, 1, '说话人' FROM t UNION ALL SELECT conv_id, name, 4, 1, '说话人' FROM t WHERE name <> 'Abe Stone')
+SELECT conv_id, name, score, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, count DESC, name) AS INTEGER) AS place FROM n
+""")
+def names_ranked(read):
+    """Names of each part's conversation by score, and names of one score in their collation's order."""
+    line = F.concat(F.lit("Zoe Adams: This is Zoe Adams\nAbe Stone: yes\n"), F.initcap("p_name"), F.lit(": no"))
+    found = names.places(names.extract(read("part").select(F.col("p_partkey").alias("conv_id"), line.alias("text"))))
+    return found.select("conv_id", "name", "score", "place")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 2 THEN '' ELSE 'page of ' || n_name END AS text, CASE n_nationkey % 3 WHEN 0 THEN 'pymupdf' WHEN 1 THEN 'pypdf' ELSE 'text' END AS method FROM nation")
+def pdf_fallbacks(read):
+    """Each nation as a PDF file that the first extractor reads, one that only the second does, and one that none does."""
+
+    def first(content: bytes) -> list[str]:
+        if content[:1] != b"0":
+            raise ValueError("not mine")
+        return ["page of " + content[1:].decode()]
+
+    def second(content: bytes) -> list[str]:
+        return ["page of " + content[1:].decode()] if content[:1] == b"1" else 1 / 0
+
+    rows = read("nation").select(F.concat(F.lit("/in/n"), F.col("n_nationkey").cast("string"), F.lit(".pdf")).alias("path"), F.concat((F.col("n_nationkey") % 3).cast("string"), F.col("n_name")).cast("binary").alias("content"))
+    found = files.load(rows, extractors={"pymupdf": first, "pypdf": second})
+    return found.select(F.regexp_extract("path", r"n(\d+)\.pdf", 1).cast("int").alias("n_nationkey"), "text", "method")
