@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
 _U = "(?U)"
+# The characters of SPACE: controls, the blank, next line, no-break, Ogham, the General Punctuation ones, and the ideographic one.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def squeeze(x: Column) -> Column:
@@ -18,7 +20,7 @@ def squeeze(x: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"{_U}^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def words(x: Column) -> Column:

@@ -125,6 +125,33 @@ def docx_lists_and_tables(read):
     return docx.read(made).select(F.col("path").cast("long").alias("p_partkey"), "text", "paragraph_count", "table_count")
 
 
+# A list whose first level begins at five and whose second is replaced by Roman numerals from two on; every paragraph is in it by
+# the style that its default style is based on.
+_OVERRIDES = _LIST + (
+    '<w:num w:numId="4"><w:abstractNumId w:val="1"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="5"/></w:lvlOverride>'
+    '<w:lvlOverride w:ilvl="1"><w:lvl w:ilvl="1"><w:start w:val="2"/><w:numFmt w:val="upperRoman"/><w:lvlText w:val="(%2)"/></w:lvl></w:lvlOverride></w:num>'
+)
+_STYLES = (
+    '<w:style w:type="paragraph" w:styleId="Base"><w:pPr><w:numPr><w:numId w:val="4"/></w:numPr></w:pPr></w:style>'
+    '<w:style w:type="paragraph" w:default="1" w:styleId="Own"><w:basedOn w:val="Base"/></w:style>'
+)
+
+
+@query("SELECT p_partkey, '5. ' || p_name || chr(10) || chr(10) || '(II) ' || p_type || chr(10) || chr(10) || '(III) ' || p_brand || chr(10) || chr(10) || '6. ' || p_name || chr(10) || chr(10) || '1. ' || p_type AS text, CAST(5 AS INTEGER) AS paragraph_count FROM part")
+def docx_overrides(read):
+    """Each part as a DOCX file whose list overrides a start and a level, is inherited by style, and stands beside another list of the same definition."""
+
+    def build(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [docx.build([r["p_name"], r["p_type"], r["p_brand"], r["p_name"], r["p_type"]], None, {1: (4, 1), 2: (4, 1), 4: (3, 0)}, _OVERRIDES, _STYLES) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    made = read("part").select(F.col("p_partkey").cast("string").alias("path"), "p_name", "p_type", "p_brand").mapInArrow(build, "path string, content binary")
+    return docx.read(made).select(F.col("path").cast("long").alias("p_partkey"), "text", "paragraph_count")
+
+
 # Tables and pages
 
 

@@ -95,7 +95,7 @@ def chunk_sentence(read):
 @query(_SENTENCES + "SELECT lang, count(*) AS docs, CAST(count(*) AS BIGINT) AS total_pages, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total_chunks FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id) USING (doc_id) GROUP BY lang")
 def chunk_totals_by_lang(read):
     pages = _pages(read)
-    held = chunking.totals(pages, chunking.chunk(pages, "sentence", single_page=True))
+    held = chunking.counts(pages, "sentence")
     return held.join(read("documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("docs"), F.sum("total_pages").alias("total_pages"), F.sum("total_chunks").alias("total_chunks"))
 
 

@@ -111,3 +111,20 @@ def test_empty_pages(spark):
     assert [tuple(r) for r in chunking.chunk(pages, "sentence").select("doc_id", "chunk_id", "page_number").collect()] == [(1, 1, 2)]
     held = {r.doc_id: (r.total_pages, r.total_chunks) for r in chunking.totals(pages, chunking.chunk(pages, "fixed_size")).collect()}
     assert held == {1: (2, 1), 2: (1, 0)}
+
+
+def test_strip_takes_what_python_takes(spark):
+    """Every character that Python counts as white space, and none besides, at both ends."""
+    assert set(text.BLANKS) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+    cases = [c + "x" + c for c in map(chr, range(1, 0x3100))] + [text.BLANKS, "", None, text.BLANKS + "a b" + text.BLANKS]
+    got = spark.createDataFrame([(x,) for x in cases], "t string").select(text.strip(F.col("t")).alias("s")).collect()
+    assert [r.s for r in got] == [x if x is None else x.strip() for x in cases]
+
+
+def test_counts_are_those_of_the_chunks(spark):
+    texts = ["", None, " ", "one two three", "a. b! c。d；e", "x" * 250 + ". " + "y. " * 90, "w " * 37, "你好。世界！" * 60]
+    rows = [(d, p, texts[(d * 3 + p) % len(texts)], p) for d in range(9) for p in range(1, 2 + d % 4)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_number int, text string, image_count int")
+    for strategy, options in (("by_page", None), ("sentence", {"max_chars": 110}), ("fixed_size", {"chunk_size": 3, "overlap": 1}), ("fixed_size", {"chunk_size": 4, "overlap": 9}), (None, None)):
+        want = chunking.totals(pages, chunking.chunk(pages, strategy, options))
+        assert sorted(map(tuple, chunking.counts(pages, strategy, options).collect())) == sorted(map(tuple, want.select("doc_id", "total_pages", "total_chunks", "total_images").collect()))
