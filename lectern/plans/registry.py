@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -452,12 +453,15 @@ def rsa_recover(read):
     p, q = 2**521 - 1, 2**607 - 1
     n, e = p * q, 65537
     d, size = pow(e, -1, (p - 1) * (q - 1)), (n.bit_length() + 7) // 8
-    import base64
 
-    seal = lambda x: base64.b64encode(rsa.encrypt_bytes(x.encode(), n, d, lambda k: b"\1" * k, 4)).decode()
-    spark = read("region").sparkSession
-    rows = [(r.r_regionkey, seal(r.r_name)) for r in read("region").collect()]  # five rows
-    return spark.createDataFrame(rows, "r_regionkey int, cipher string").select("r_regionkey", rsa.recovered(F.col("cipher"), n, e, size).alias("r_name"))
+    @F.pandas_udf("string")
+    def seal(names: pd.Series) -> pd.Series:
+        import base64
+
+        return names.map(lambda x: base64.b64encode(rsa.encrypt_bytes(x.encode(), n, d, lambda k: b"\1" * k, 4)).decode())
+
+    sealed = read("region").select("r_regionkey", seal("r_name").alias("cipher"))
+    return sealed.select("r_regionkey", rsa.recovered(F.col("cipher"), n, e, size).alias("r_name"))
 
 
 @query("""

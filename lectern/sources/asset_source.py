@@ -1,12 +1,13 @@
 """Image assets as a data source: ``df.write.format("lectern_assets").save(root)`` and ``spark.read.format("lectern_assets").load(root)``.
 
 Rows are (path, bytes), paths relative to the root as :func:`catalog.assets` gives them. A task writes its files to a
-staging folder below the root; when all are there it leaves a list of their names and puts them in place. When the job fails, what
-the lists name is removed, whichever task wrote it, and so is the staging folder; when it succeeds only the folder
-goes. The driver sees one message a task, never names or bytes. A task that runs again puts the same files in place.
+staging folder below the root, and last a list of their names. Only when all tasks are done does the job's commit move the files in
+place, list by list, so nothing of a job that fails is ever seen; its staging folder goes, and a task that is still running then
+finds its job closed and removes what it wrote. Spark is sent one message a task, never names or bytes. Of a task that ran
+twice only the run that Spark counts is moved.
 
 The root is any place that pyarrow's file systems reach (local and shared folders, hdfs, s3, gs). Mode "append" overwrites
-files of the same name and leaves others; "overwrite" first removes all assets below the root, when the job commits.
+files of the same name and leaves others; with "overwrite" other assets below the root go when the job commits.
 """
 
 from __future__ import annotations
@@ -40,80 +41,110 @@ def safe_path(path: str) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
+    task: str
     files: int
     size: int
 
 
 class AssetWriter(DataSourceWriter):
+    #: Files that the commit moves at a time.
+    threads = 16
+
     def __init__(self, root: str, overwrite: bool):
         self.root, self.overwrite, self.job = root, overwrite, uuid.uuid4().hex
+        system, base = place(root)
+        system.create_dir(self.staging(base), recursive=True)
+        with system.open_output_stream(self.opened(base)) as out:
+            out.write(b"")
 
     def staging(self, base: str) -> str:
         return posixpath.join(base, STAGING, self.job)
 
-    def write(self, iterator: Iterator) -> Written:
-        from pyarrow import fs
+    def opened(self, base: str) -> str:
+        """A file that is there as long as the job is open."""
+        return posixpath.join(self.staging(base), "open")
 
+    def write(self, iterator: Iterator) -> Written:
         system, base = place(self.root)
-        task = posixpath.join(self.staging(base), uuid.uuid4().hex)
+        name = uuid.uuid4().hex
+        task = posixpath.join(self.staging(base), name)
+        self._check(system, base, None)
         system.create_dir(task, recursive=True)
         names, size = [], 0
         try:
-            for k, row in enumerate(iterator):
+            for row in iterator:
                 if row.path is None or row.bytes is None:
                     continue
                 names.append(safe_path(row.path))
                 with system.open_output_stream(f"{task}/{len(names) - 1}") as out:
                     out.write(bytes(row.bytes))
                 size += len(row.bytes)
-            with system.open_output_stream(f"{task}.json") as out:
+            with system.open_output_stream(f"{task}/list.json") as out:
                 out.write(json.dumps(names).encode())
-            for k, name in enumerate(names):
-                target = posixpath.join(base, name)
-                system.create_dir(posixpath.dirname(target), recursive=True)
-                system.move(f"{task}/{k}", target)
-        finally:
-            if system.get_file_info(task).type != fs.FileType.NotFound:
-                system.delete_dir(task)
-        return Written(len(names), size)
-
-    def _lists(self, system, base: str) -> Iterator[list[str]]:
+        except BaseException:
+            self._drop(system, task)
+            raise
+        self._check(system, base, task)
+        return Written(name, len(names), size)
+
+    def _check(self, system, base: str, task: str | None) -> None:
+        """Refuse to go on once the job is closed; what ``task`` wrote goes, and the job's folder that it may have made again."""
         from pyarrow import fs
 
-        for info in system.get_file_info(fs.FileSelector(self.staging(base), allow_not_found=True)):
-            if info.path.endswith(".json"):
-                with system.open_input_stream(info.path) as file:
-                    yield json.loads(file.read())
+        if system.get_file_info(self.opened(base)).type != fs.FileType.File:
+            if task:
+                self._drop(system, task)
+                self._clear(system, base)
+            raise RuntimeError("the job that this task belongs to is over")
+
+    @staticmethod
+    def _drop(system, path: str) -> None:
+        from pyarrow import fs
+
+        if system.get_file_info(path).type != fs.FileType.NotFound:
+            system.delete_dir(path)
 
     def _clear(self, system, base: str) -> None:
         from pyarrow import fs
 
-        if system.get_file_info(self.staging(base)).type != fs.FileType.NotFound:
-            system.delete_dir(self.staging(base))
-        if not system.get_file_info(fs.FileSelector(posixpath.join(base, STAGING), allow_not_found=True)):
-            if system.get_file_info(posixpath.join(base, STAGING)).type != fs.FileType.NotFound:
-                system.delete_dir(posixpath.join(base, STAGING))
+        if system.get_file_info(self.opened(base)).type != fs.FileType.NotFound:
+            system.delete_file(self.opened(base))
+        self._drop(system, self.staging(base))
+        whole = posixpath.join(base, STAGING)
+        if not system.get_file_info(fs.FileSelector(whole, allow_not_found=True)):
+            self._drop(system, whole)
 
     def commit(self, messages: list) -> None:
+        from concurrent.futures import ThreadPoolExecutor
+
         from pyarrow import fs
 
         system, base = place(self.root)
+        kept, made = set(), set()
+
+        def move(source: str, target: str) -> None:
+            system.move(source, target)
+
+        with ThreadPoolExecutor(self.threads) as pool:
+            for message in filter(None, messages):
+                task = posixpath.join(self.staging(base), message.task)
+                with system.open_input_stream(f"{task}/list.json") as file:
+                    names = json.loads(file.read())
+                targets = [posixpath.join(base, x) for x in names]
+                for folder in {posixpath.dirname(x) for x in targets} - made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                if self.overwrite:
+                    kept.update(targets)
+                list(pool.map(move, [f"{task}/{k}" for k in range(len(targets))], targets))
         if self.overwrite:
-            kept = {posixpath.join(base, name) for names in self._lists(system, base) for name in names}
             for info in system.get_file_info(fs.FileSelector(posixpath.join(base, FOLDER), recursive=True, allow_not_found=True)):
                 if info.type == fs.FileType.File and info.path not in kept:
                     system.delete_file(info.path)
         self._clear(system, base)
 
     def abort(self, messages: list) -> None:
-        from pyarrow import fs
-
-        system, base = place(self.root)
-        for names in self._lists(system, base):
-            for name in names:
-                if system.get_file_info(posixpath.join(base, name)).type == fs.FileType.File:
-                    system.delete_file(posixpath.join(base, name))
-        self._clear(system, base)
+        self._clear(*place(self.root))
 
 
 class RunFolder(InputPartition):

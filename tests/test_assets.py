@@ -1,5 +1,7 @@
 """Assets as a data source: what is written is read back, and a job that fails leaves nothing."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def files(root):
     return sorted(str(x.relative_to(root)) for x in root.rglob("*") if x.is_file())
 
 
+def settled(root, before):
+    """Assets are as ``before`` at once; the staging folder is gone when the last task has noticed that its job is over."""
+    end = time.time() + 30
+    while files(root) != before and time.time() < end:
+        assert [x for x in files(root) if not x.startswith("_staging/")] == before
+        time.sleep(0.5)
+    assert files(root) == before
+
+
 def test_round_trip(spark, images, tmp_path):
     out = images.select("path", "bytes")
     out.write.format("lectern_assets").mode("append").save(str(tmp_path))
@@ -40,11 +51,31 @@ def test_a_failed_task_leaves_no_file(spark, images, tmp_path):
     bad = images.where("doc_id > 0 AND bytes IS NOT NULL").select(F.when(F.col("path").endswith("doc 5_p2_img2.png"), late("path")).otherwise(F.col("path")).alias("path"), "bytes")
     with pytest.raises(Exception):
         bad.write.format("lectern_assets").mode("append").save(str(tmp_path))
-    assert files(tmp_path) == before
+    settled(tmp_path, before)
     outside = spark.createDataFrame([("assets/../x", b"1")], "path string, bytes binary")
     with pytest.raises(Exception):
         outside.write.format("lectern_assets").mode("append").save(str(tmp_path))
-    assert files(tmp_path) == before
+    settled(tmp_path, before)
+
+
+def test_a_task_that_outlives_its_job(tmp_path):
+    """It finds the job closed, before it begins or when it ends, and leaves nothing; nothing is in place before the commit."""
+    from types import SimpleNamespace
+
+    row = SimpleNamespace(path="assets/r/a.png", bytes=b"1")
+    writer = asset_source.AssetWriter(str(tmp_path), False)
+    done = writer.write(iter([row, SimpleNamespace(path=None, bytes=b"2")]))
+    assert done.files == 1 and not (tmp_path / "assets").exists()
+
+    def late():
+        yield row
+        writer.abort([done])
+
+    with pytest.raises((RuntimeError, OSError)):
+        writer.write(late())
+    with pytest.raises(RuntimeError):
+        writer.write(iter([row]))
+    assert files(tmp_path) == []
 
 
 def test_empty(spark, tmp_path):
