@@ -126,6 +126,40 @@ def test_stretches():
         assert max([0, *(e - s for s, e in found)]) == longest
 
 
+def test_roles():
+    rng = random.Random(41)
+    seen = set()
+    for _ in range(300):
+        n = rng.randrange(1, 30)
+        tokens = np.array([rng.randrange(rng.choice([3, 50])) for _ in range(n)], np.int32)
+        common = {x for x in tokens.tolist() if rng.random() < rng.choice([0.5, 0.9])}
+        shared, at, width = np.array([x in common for x in tokens.tolist()], bool), rng.randrange(n), rng.randrange(2, 14)
+        later = earlier = False
+        for i in range(at + 1):
+            for j in range(at + 1, n + 1):
+                part, both = tokens[i:j].tolist(), int(shared[i:j].sum())
+                if both >= 0.8 * (j - i) - 1e-9 and len(set(part) & common) >= 0.8 * len(set(part)) - 1e-9:
+                    later, earlier = later or j - i >= width, earlier or both >= 0.8 * width - 1e-9
+        assert substring_dedup.roles(shared, tokens, at, width) == (later, earlier)
+        seen.add((later, earlier))
+    assert len(seen) == 3
+
+
+def test_a_shared_line_makes_no_pairs(spark):
+    """Documents that share lines of 20 and 25 words or a word that repeats do not meet; those with 49 of 50 words of a passage do."""
+    rng = random.Random(43)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    line, other, both = fresh(20), fresh(25), [fresh(22), fresh(27)]
+    texts = [fresh(70) + line + fresh(70) + other + fresh(70) for _ in range(80)] + [fresh(60) + ["so"] * 20 + fresh(60) for _ in range(20)]
+    texts += [fresh(60) + both[0] + fresh(1) + both[1] + fresh(60) for _ in range(3)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    windows = substring_dedup.window_rows(docs, 50).select("key", "doc", "lo", "c", "hi")
+    assert windows.groupBy("key").count().agg(F.max("count")).first()[0] >= 80
+    able = substring_dedup.promising(windows, docs, 46, 0.8).collect()
+    assert {r.doc for r in able if r.later} == {r.doc for r in able if r.earlier} == {100, 101, 102}
+    assert {(r.doc_id, r.match_id) for r in substring_dedup.repeats(docs).collect()} >= {(101, 100), (102, 100)}
+
+
 def test_passages(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
