@@ -8,7 +8,8 @@ enough for what it changes and holds a character that is the same in both. A cha
 runs over it agree on one form, and so do they over all the rest of their run; where two forms sound alike, the text stays.
 
 All of it is joins and windows keyed by the caller's ``key``, which has to tell the rows apart; rows with a null key or text stay as
-they are. Numerals stay as spoken: 三 and 3 are the same character here.
+they are. Numerals stay as spoken: 三 and 3 are the same character here. The table of readings, which a language bounds, is broadcast; what
+has rows of the calls never is: it is packed so small in a shuffle that its size there says nothing about its size on the driver.
 """
 
 from __future__ import annotations
@@ -81,9 +82,14 @@ def _letters(x: Column) -> Column:
     return F.filter(F.split(x, ""), lambda c: c != "")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` in as many partitions as the session has for shuffles: their packed sizes would merge them into a few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _spelled(rows: DataFrame, sounds: DataFrame, at: str, char: str) -> DataFrame:
     """``rows`` with a row for each thing that a character can be met by: itself, and its classes."""
-    heard = rows.join(sounds.select(F.col("char").alias(char), "syllables", "classes"), char, "left")
+    heard = rows.join(F.broadcast(sounds.select(F.col("char").alias(char), "syllables", "classes")), char, "left")
     met = F.array_union(F.array(F.concat(F.lit("="), folded(F.col(char)))), F.coalesce("classes", F.array().cast("array<string>")))
     return heard.select("*", F.explode(met).alias("met")).drop("classes").withColumnRenamed("syllables", f"{at}_syllables")
 
@@ -97,10 +103,11 @@ def runs(calls: DataFrame, sounds: DataFrame, key: str = "call_id", spoken: str
     there = calls.where(F.col(key).isNotNull())
     said = there.select(F.col(key).alias("key"), F.posexplode(_letters(F.col(spoken))).alias("i", "said"))
     known = there.select(F.col(key).alias("key"), F.posexplode(candidates).alias("cand", "text")).select("key", "cand", F.posexplode(_letters(F.col("text"))).alias("j", "meant"))
-    met = _spelled(said, sounds, "said", "said").join(_spelled(known, sounds, "meant", "meant"), ["key", "met"])
+    met = dealt(_spelled(said, sounds, "said", "said"), "key", "met").join(dealt(_spelled(known, sounds, "meant", "meant"), "key", "met").hint("merge"), ["key", "met"])
     kind = F.when(folded(F.col("said")) == folded(F.col("meant")), 0).when(F.coalesce(F.arrays_overlap("said_syllables", "meant_syllables"), F.lit(False)), 1).otherwise(2)
     # From here on one partition holds all of a key, which every window below goes by.
-    pairs = met.select("key", "cand", "i", "j", "said", "meant", kind.alias("kind"), (F.col("i") - F.col("j")).alias("diagonal")).repartition("key").dropDuplicates(["key", "cand", "i", "j"])
+    pairs = met.select("key", "cand", "i", "j", "said", "meant", kind.alias("kind"), (F.col("i") - F.col("j")).alias("diagonal"))
+    pairs = dealt(pairs, "key").dropDuplicates(["key", "cand", "i", "j"])
     line = Window.partitionBy("key", "cand", "diagonal").orderBy("i")
     pairs = pairs.withColumn("island", F.col("i") - F.row_number().over(line))
     run = Window.partitionBy("key", "cand", "diagonal", "island")
@@ -120,7 +127,7 @@ def corrected(calls: DataFrame, sounds: DataFrame, key: str = "call_id", spoken:
     pairs = pairs.withColumn("settled", F.min(F.col("longest") & F.col("agreed")).over(run))
     change = F.when(F.col("settled") & (F.col("kind") > 0), F.struct("i", "said", F.col("form").alias("meant")))
     found = pairs.groupBy("key").agg(F.sort_array(F.collect_set(change)).alias("_found"), F.max(F.col("longest") & ~F.col("agreed")).alias("_two"))
-    out = calls.join(found, F.col(key) == F.col("key"), "left")
+    out = calls.join(found.hint("merge"), F.col(key) == F.col("key"), "left")
     by_place = F.map_from_entries(F.transform("_found", lambda x: F.struct(x["i"], x["meant"])))
     mended = F.array_join(F.transform(_letters(F.col(spoken)), lambda c, i: F.coalesce(F.try_element_at(by_place, i), c)), "")
     return out.select(
@@ -140,7 +147,7 @@ def cleaned(calls: DataFrame, sounds: DataFrame, key: str = "call_id", spoken: s
     line = Window.partitionBy("key", "cand", "diagonal")
     met = runs(calls, sounds, key, spoken, candidates).withColumn("_run", F.max(counts()).over(line)).where("_run")
     first = met.groupBy("key").agg(F.min("i").alias("_first"))
-    out = calls.join(first, F.col(key) == F.col("key"), "left")
+    out = calls.join(first.hint("merge"), F.col(key) == F.col("key"), "left")
     bare = F.regexp_replace(F.col(spoken), introduction, "")
     before = F.substring(F.col(spoken), F.lit(1), F.col("_first"))
     wrapped = F.coalesce(~before.rlike(marks), F.lit(False))

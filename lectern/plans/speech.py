@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import prompts, reconcile, sounds
-from .registry import query
+from .registry import query, spread
 
 # Characters by the last digit but one and by the last digit of a key, homophones of the former, and their syllables.
 _FIRST, _ALIKE, _SECOND = "安保成东方高海江兰明", "案堡城冬芳糕孩疆拦鸣", "林峰泉湖溪田桥石亭苑"
@@ -26,7 +26,7 @@ def _calls(read) -> DataFrame:
     """(call_id, kind, a, b, place, other) of customers: kind cycles over cases, a and b are characters of the key's digits."""
     n = F.col("c_custkey")
     tens = F.floor(n / 10) % 10
-    rows = read("customer").select(n.alias("call_id"), (F.floor(n / 100) % 6).cast("int").alias("kind"), _char(_FIRST, tens).alias("a"), _char(_ALIKE, tens).alias("alike"), _char(_FIRST, (tens + 5) % 10).alias("far"), _char(_SECOND, n % 10).alias("b"))
+    rows = spread(read("customer").select("c_custkey"), 10_000).select(n.alias("call_id"), (F.floor(n / 100) % 6).cast("int").alias("kind"), _char(_FIRST, tens).alias("a"), _char(_ALIKE, tens).alias("alike"), _char(_FIRST, (tens + 5) % 10).alias("far"), _char(_SECOND, n % 10).alias("b"))
     return rows.withColumn("place", F.concat("a", "b", F.lit("世家")))
 
 

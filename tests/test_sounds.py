@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from lectern.operators import sounds
+from lectern.operators import prompts, sounds
 
 CALLS = "call_id long, spoken string, address_list array<string>"
 # Recorded examples of what callers said, their candidates and what is expected.
@@ -148,3 +148,14 @@ def test_against_brute_force(spark):
 
 def test_introductions():
     assert [re.sub(sounds.INTRODUCTION, "", x) for x in ("你好我家住在A", "那个麻烦请查一下B", "保利")] == ["A", "B", "保利"]
+
+
+def test_calls_are_not_broadcast(spark):
+    """Only the table of readings is: the joins by the caller's key take no side to the driver, however small the calls are packed."""
+    heard = sounds.sounding(spark.createDataFrame([("安", "an"), ("岸", "an")], "char string, syllable string"))
+    calls = spark.createDataFrame([(1, "安", ["岸"])], "call_id long, spoken string, address_list array<string>")
+    for found in (sounds.cleaned(calls, heard), sounds.corrected(calls, heard), prompts.near_misses(calls, heard)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        keyed = [line for line in plan.splitlines() if "Join" in line and ("key#" in line or "call_id#" in line)]
+        assert keyed and all("SortMergeJoin" in line for line in keyed), keyed
