@@ -53,9 +53,10 @@ def near_misses(calls: DataFrame, heard: DataFrame, key: str = "call_id", spoken
     gaps = found.where(F.col("held") & (F.col("next") == F.col("i") + 2)).select("key", "cand", (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"))
     texts = calls.select(F.col(key).alias("key"), F.col(spoken).alias("_spoken"), F.col(candidates).alias("_known"))
     letter = lambda text, at: F.substring(text, at + 1, F.lit(1))
-    gaps = gaps.join(texts, "key").select("key", letter(F.col("_spoken"), F.col("i")).alias("said"), letter(F.get("_known", F.col("cand")), F.col("j")).alias("meant")).distinct()
+    gaps = gaps.join(texts.hint("merge"), "key").select("key", letter(F.col("_spoken"), F.col("i")).alias("said"), letter(F.get("_known", F.col("cand")), F.col("j")).alias("meant")).distinct()
     syllables = heard.select("char", F.array_join(F.array_sort("syllables"), "/").alias("sound"))
-    gaps = gaps.join(syllables.select(F.col("char").alias("said"), F.col("sound").alias("said_sound")), "said").join(syllables.select(F.col("char").alias("meant"), F.col("sound").alias("meant_sound")), "meant")
+    of = lambda x: F.broadcast(syllables.select(F.col("char").alias(x), F.col("sound").alias(f"{x}_sound")))
+    gaps = gaps.join(of("said"), "said").join(of("meant"), "meant")
     shown = F.concat("said", F.lit("("), "said_sound", F.lit(")≠"), "meant", F.lit("("), "meant_sound", F.lit(")"))
     return gaps.groupBy("key").agg(F.array_sort(F.collect_set(shown)).alias("misses"))
 
@@ -71,7 +72,7 @@ def built(calls: DataFrame, heard: DataFrame, key: str = "call_id") -> DataFrame
     own = calls.select(F.struct(*names).alias("_row"), F.col(key).alias("call_id"), text("user_input").alias("spoken"), "address_list")
     own = sounds.cleaned(own, heard)
     own = sounds.corrected(own, heard, spoken="clean")
-    own = own.join(near_misses(own, heard, spoken="clean"), F.col("call_id") == F.col("key"), "left").drop("key")
+    own = own.join(near_misses(own, heard, spoken="clean").hint("merge"), F.col("call_id") == F.col("key"), "left").drop("key")
     held = lambda c: F.regexp_replace(F.coalesce(strip(F.col("_row")[c]), F.lit("")), r"[，。,.;；:：]+$", "")
     fragment = held("last_unmatched_fragment") if "last_unmatched_fragment" in names else F.lit("")
     closed = held("last_unmatched_address").startswith(NO_MERGE)
