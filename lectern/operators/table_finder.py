@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..functions.text import squeeze
+from .sounds import dealt
 
 #: Width of white space that sets cells of a line apart.
 GAP = 8.0
@@ -37,7 +38,8 @@ def cells(words: DataFrame, gap: float = GAP) -> DataFrame:
     Blank words and words without a place are left out.
     """
     box = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
-    rows = words.select(*PAGE, *box, squeeze(F.col("text")).alias("text")).where("text <> '' AND x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL").repartition(*PAGE)
+    rows = words.select(*PAGE, *box, squeeze(F.col("text")).alias("text")).where("text <> '' AND x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL")
+    rows = dealt(rows, *PAGE)
     rows = rows.withColumn("middle", (F.col("y0") + F.col("y1")) / 2)
     down = ["middle", "x0", "x1", "text"]
     rows = _islands(rows, "line", PAGE, down, F.col("middle") > _before("y1", Window.partitionBy(*PAGE).orderBy(*down)))
