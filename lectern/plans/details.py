@@ -12,7 +12,7 @@ from ..functions import options, table_functions, tables, text
 from ..operators import assistant, chunking, layout, names, rsa, table_finder
 from ..sources import asset_source, catalog, docx, files
 from ..streaming import arrivals, dialogue
-from .registry import _SQL, _WINDOWS, _boxes, query
+from .registry import _SQL, _WINDOWS, _boxes, query, spread
 
 
 def _folder(spark: SparkSession) -> str:
@@ -121,7 +121,7 @@ def docx_lists_and_tables(read):
             made = [docx.build([r["p_name"], r["p_type"], r["p_brand"]], [[["Name", ""], [r["p_type"], str(r["p_size"])]]], {0: (3, 0), 1: (3, 1), 2: (3, 0)}, _LIST) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
-    made = read("part").select(F.col("p_partkey").cast("string").alias("path"), "p_name", "p_type", "p_brand", "p_size").mapInArrow(build, "path string, content binary")
+    made = spread(read("part").select(F.col("p_partkey").cast("string").alias("path"), "p_name", "p_type", "p_brand", "p_size")).mapInArrow(build, "path string, content binary")
     return docx.read(made).select(F.col("path").cast("long").alias("p_partkey"), "text", "paragraph_count", "table_count")
 
 
@@ -148,7 +148,7 @@ def docx_overrides(read):
             made = [docx.build([r["p_name"], r["p_type"], r["p_brand"], r["p_name"], r["p_type"]], None, {1: (4, 1), 2: (4, 1), 4: (3, 0)}, _OVERRIDES, _STYLES) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
-    made = read("part").select(F.col("p_partkey").cast("string").alias("path"), "p_name", "p_type", "p_brand").mapInArrow(build, "path string, content binary")
+    made = spread(read("part").select(F.col("p_partkey").cast("string").alias("path"), "p_name", "p_type", "p_brand")).mapInArrow(build, "path string, content binary")
     return docx.read(made).select(F.col("path").cast("long").alias("p_partkey"), "text", "paragraph_count")
 
 
@@ -287,7 +287,7 @@ def rsa_round_trip(read) -> DataFrame:
     p, q = 2**521 - 1, 2**607 - 1
     n, e = p * q, 65537
     sealed = rsa.encrypted(F.repeat(F.concat("s_name", F.lit(" é ")), F.lit(10)), n, e)
-    return read("supplier").select("s_suppkey", sealed.alias("sealed")).select("s_suppkey", rsa.recovered(F.col("sealed"), n, pow(e, -1, (p - 1) * (q - 1)), (n.bit_length() + 7) // 8).alias("text"))
+    return spread(read("supplier").select("s_suppkey", "s_name"), 500).select("s_suppkey", sealed.alias("sealed")).select("s_suppkey", rsa.recovered(F.col("sealed"), n, pow(e, -1, (p - 1) * (q - 1)), (n.bit_length() + 7) // 8, (p, q)).alias("text"))
 
 
 # Table functions
@@ -318,7 +318,7 @@ SELECT p_partkey, CAST(1 AS INTEGER) AS table_number, CASE WHEN p_partkey % 4 =
 """)
 def tables_by_words(read):
     """Each part as a page of words: a sentence and a table without rules; a fourth of the pages has a ruled table, which goes before."""
-    rows = read("part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), "p_name", "p_type", "p_brand", F.col("p_size").cast("string").alias("size"))
+    rows = spread(read("part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), "p_name", "p_type", "p_brand", F.col("p_size").cast("string").alias("size")), 10_000)
     lines = [((10, 10), F.lit("A sentence of some words")), ((10, 40), F.lit("Part name")), ((300, 41), F.lit("Kind")), ((600, 39), F.lit("Size")), ((10, 60), F.col("p_name")), ((300, 60), F.col("p_type")), ((600, 60), F.col("size")), ((10, 80), F.col("p_brand")), ((600, 81), F.lit("x"))]
     held = rows.select("doc_id", "page", F.explode(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.split(t, " ").alias("words")) for (x, y), t in lines])).alias("at"))
     held = held.select("doc_id", "page", "at.x", "at.y", "at.words", F.posexplode("at.words").alias("k", "text"))
@@ -367,7 +367,7 @@ SELECT conv_id, name, score, CAST(row_number() OVER (PARTITION BY conv_id ORDER
 def names_ranked(read):
     """Names of each part's conversation by score, and names of one score in their collation's order."""
     line = F.concat(F.lit("Zoe Adams: This is Zoe Adams\nAbe Stone: yes\n"), F.initcap("p_name"), F.lit(": no"))
-    found = names.places(names.extract(read("part").select(F.col("p_partkey").alias("conv_id"), line.alias("text"))))
+    found = names.places(names.extract(spread(read("part").select("p_partkey", "p_name"), 10_000).select(F.col("p_partkey").alias("conv_id"), line.alias("text"))))
     return found.select("conv_id", "name", "score", "place")
 
 

@@ -316,7 +316,7 @@ def number_letters(read):
 def _talks(read) -> DataFrame:
     """Conversations in which parts and regions are called like people."""
     line = F.concat(F.lit("Agent Smith: This is "), F.initcap("p_name"), F.lit("\r\n\n  contact "), F.initcap("p_name"), F.lit(" now\nthanks"))
-    return read("part").select(F.col("p_partkey").alias("conv_id"), line.alias("text"))
+    return spread(read("part").select("p_partkey", "p_name"), 10_000).select(F.col("p_partkey").alias("conv_id"), line.alias("text"))
 
 
 @query("""
@@ -391,7 +391,7 @@ def address_dialogue(read):
     n = F.col("c_custkey")
     known = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda r: F.concat(F.lit("福建省漳州市云霄县保利香槟"), (n % 9 + 1).cast("string"), F.lit("栋30"), r.cast("string"), F.lit("室")))
     said = F.array(F.lit("云霄县"), F.lit("保利香槟"), F.concat((n % 9 + 1).cast("string"), F.lit("号楼30"), (n % 4 + 1).cast("string")), F.lit("是的"))
-    rows = read("customer").select(n.alias("call_id"), known.alias("address_list"), F.posexplode(said).alias("turn", "user_input"))
+    rows = spread(read("customer").select("c_custkey")).select(n.alias("call_id"), known.alias("address_list"), F.posexplode(said).alias("turn", "user_input"))
     return address.turns(rows)
 
 

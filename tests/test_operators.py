@@ -233,3 +233,33 @@ def test_rsa(spark):
     assert rsa.recover_bytes(cipher, n, 65537, size).decode() == "你好, world"
     out = spark.createDataFrame([("hello",), (None,)], "t string").select(rsa.encrypted(F.col("t"), n, 65537).alias("c")).collect()
     assert out[1].c is None and len(out[0].c) > 100
+
+
+def test_costly_rows_are_dealt_out(spark, tmp_path):
+    """Rows of one file are one split; costly ones are spread over tasks, also behind a shuffle that packs them small, with the same result."""
+    import os
+
+    from lectern.operators import rsa
+    from lectern.plans import registry
+
+    spark.range(1, 4502).selectExpr("id AS s_suppkey", "'Supplier ' || id AS s_name", "id AS c_custkey", "id AS p_partkey", "'a b' AS p_name", "'t' AS p_type", "'b' AS p_brand", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    for name in ("customer", "part"):
+        os.symlink(f"{tmp_path}/supplier.parquet", f"{tmp_path}/{name}.parquet")
+    tasks = lambda name: registry.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions()
+    assert tasks("rsa_round_trip") == 10 and tasks("docx_overrides") == tasks("docx_lists_and_tables") == 3
+    assert tasks("address_dialogue") == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = registry.queries()["address_dialogue"](spark, str(tmp_path))
+    assert found.count() == 4 * 4501 and found.where("turn = 3 AND is_completed").count() == sum(k % 4 < 3 for k in range(1, 4502))
+    p, q = 2**521 - 1, 2**607 - 1
+    n, d = p * q, pow(65537, -1, (p - 1) * (q - 1))
+    sealed = rsa.encrypt_bytes("é".encode() * 100, n, 65537, lambda k: b"\1" * k)
+    assert rsa.recover_bytes(sealed, n, d, 141, (p, q)) == rsa.recover_bytes(sealed, n, d, 141) == "é".encode() * 100
+
+
+def test_batches_for_workers_are_bounded_by_bytes(spark, data):
+    from lectern.plans import registry
+
+    spark._lectern_batches = False
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    registry.queries()["docx_pages"](spark, data)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
