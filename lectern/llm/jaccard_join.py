@@ -10,7 +10,8 @@ band too. Two empty parts say nothing: a set with fewer than D // 2 + 1 partitio
 element gives the signatures of all partitions and those of the next of a few domain partitions, and after the last
 those of empty subsets, so no link is lost (SCHEMES).
 
-Signatures are sorted by partition and read as a stream. A group of up to SMALL sets gives all its pairs. A
+Signatures are sorted by partition and read as a stream. Each comes with the one that its set gave before. A group of up to SMALL sets
+gives all its pairs but those that have this one in common too: they met there, so a pair is not given again by each of its signatures. A
 larger one gives pairs with its first member only, and its membership; once these are settled, its members that
 are not in one component yet are compared in bounded cells by their parities (of counts in buckets, which
 differ in no more bits than the sets in elements). Every candidate is settled by the exact intersection. Sets that are
@@ -167,16 +168,16 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """(signature, doc_id); a set that a task has met gives none again."""
+    """(signature, before, doc_id), before being the set's signature before this one, or 0; a set that a task has met gives none again."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
         met = set()
-        keys, ids, held = [], [], 0
+        keys, last, ids, held = [], [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["signature", "doc_id"])
+            return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x).view(np.int64)) for x in (keys, last)), pa.array(np.concatenate(ids))], names=["signature", "before", "doc_id"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -187,25 +188,27 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                 if digest in met:
                     continue
                 met.add(digest)
-                own = np.unique(signatures(found))
+                given = signatures(found)
+                own, at = np.unique(given, return_index=True)
                 keys.append(own)
+                last.append(np.concatenate([np.zeros(1, np.uint64), given])[at])
                 ids.append(np.full(len(own), doc, np.int64))
                 held += len(own)
                 if held > 200_000:
                     yield flush()
-                    keys, ids, held = [], [], 0
+                    keys, last, ids, held = [], [], [], 0
         if keys:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "signature long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "signature long, before long, doc_id long")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """From (signature, doc_id): rows (g null, a, b) of pairs to settle, and (g, a, b) of members of large groups, b being the group's first."""
+    """From (signature, before, doc_id): rows (g null, a, b) of pairs to settle, and (g, a, b) of members of large groups, b being the group's first."""
     import numpy as np
     import pyarrow as pa
 
-    def emit(keys, docs, last: bool, seen: set):
+    def emit(keys, before, docs, last: bool, seen: set):
         """Rows of the groups that are complete; the place where the last, open one begins."""
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         ends = np.concatenate([starts[1:], [len(keys)]])
@@ -217,27 +220,31 @@ def grouped(rows: DataFrame) -> DataFrame:
             at = starts[good & (size == n)]
             for i in range(n - 1 if len(at) else 0):
                 for j in range(i + 1, n):
-                    pairs.append(np.stack([docs[at + i], docs[at + j]], 1))
+                    new = (before[at + i] != before[at + j]) | (before[at + i] == 0)
+                    pairs.append(np.stack([docs[at + i], docs[at + j]], 1)[new])
         for s, e in zip(starts[good & (size > SMALL)], ends[good & (size > SMALL)]):
-            own = docs[s:e]
+            own, new = docs[s:e], (before[s:e] != before[s]) | (before[s:e] == 0)
+            if not new.any():
+                continue  # all of them are in the large group of the signature before
             name = hashlib.blake2b(own.tobytes(), digest_size=8).digest()
             if name in seen:
                 continue
             seen.add(name)
-            pairs.append(np.stack([np.full(len(own) - 1, own[0]), own[1:]], 1))
+            pairs.append(np.stack([np.full(len(own) - 1, own[0]), own[1:]], 1)[new[1:]])
             members.append(np.stack([np.full(len(own), int.from_bytes(name, "little", signed=True)), own, np.full(len(own), own[0])], 1))
         return pairs, members, upto
 
     def run(batches):
         seen: set[bytes] = set()
-        keys, docs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, before, docs = (np.zeros(0, np.int64) for _ in range(3))
         waiting, held = [], 0
         for batch in _with_end(batches):
             if batch is not None:
                 keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-                docs = np.concatenate([docs, batch.column(1).to_numpy(zero_copy_only=False)])
-            pairs, members, upto = emit(keys, docs, batch is None, seen)
-            keys, docs = keys[upto:], docs[upto:]
+                before = np.concatenate([before, batch.column(1).to_numpy(zero_copy_only=False)])
+                docs = np.concatenate([docs, batch.column(2).to_numpy(zero_copy_only=False)])
+            pairs, members, upto = emit(keys, before, docs, batch is None, seen)
+            keys, before, docs = keys[upto:], before[upto:], docs[upto:]
             waiting += pairs
             held += sum(map(len, pairs))
             if waiting and (batch is None or held > 500_000):

@@ -104,6 +104,19 @@ def test_large_groups_in_cells(spark, monkeypatch):
     assert got == expected
 
 
+def test_pairs_meet_once_in_a_run_of_signatures(spark):
+    """Sets that have a signature and the one before it in common are given where they met first, in small and in large groups; others at each."""
+    rows = [(1, 0, a) for a in (10, 11)] + [(2, 1, a) for a in (10, 11)] + [(3, 1, 10), (3, 7, 11)] + [(4, 0, 10), (4, 0, 12)]
+    rows += [(5, 0, a) for a in range(20, 40)] + [(6, 5, a) for a in range(20, 40)] + [(8, 5, a) for a in range(20, 30)] + [(8, 9, 99)]
+    found = [tuple(r) for r in jaccard_join.grouped(spark.createDataFrame(rows, "signature long, before long, doc_id long").coalesce(1)).collect()]
+    assert {x[1:] for x in found if x[0] is None} == {(10, 11), (10, 12), (20, 99)} | {(20, a) for a in range(21, 40)}
+    held = {}
+    for g, a, b in found:
+        if g is not None:
+            held.setdefault(g, set()).add(a)
+    assert {frozenset(x) for x in held.values()} == {frozenset([*range(20, 30), 99]), frozenset(range(20, 40))}
+
+
 def test_compact_windows():
     rng = np.random.default_rng(3)
     values = rng.permutation(60)
