@@ -301,6 +301,21 @@ def test_tails_of_overlapping_passages(spark):
         assert got[3 * i + 2] == set(range(20, 95)), i
 
 
+def test_links_with_documents_that_are_not_alike(spark):
+    """60 words, and the same with the word at 12 or at 47 changed: both are like the first (0.84), but not like each other (0.71); in every order."""
+    rng = random.Random(47)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows, expected = [], set()
+    for k, order in enumerate([(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)] * 8):
+        middle = fresh(60)
+        one, two = middle[:12] + fresh(1) + middle[13:], middle[:47] + fresh(1) + middle[48:]
+        ids = [3 * k + x for x in order]  # of one, middle and two
+        rows += [(i, " ".join(fresh(30) + t + fresh(30))) for i, t in zip(ids, (one, middle, two))]
+        expected |= {(max(i, ids[1]), min(i, ids[1])) for i in (ids[0], ids[2])}
+    got = {(r.doc_id, r.match_id) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
 def brute_vectors(rows):
     links = Counter()
     pairs = []
