@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 WINDOW, END_ID = 2048, 1
 #: Tokens that a task gathers before it packs them, and entries of its word table.
 GATHER, TABLE_ENTRIES = 6_000_000, 600_000
+#: Texts whose words are looked up together; batches are bounded by bytes.
+TOGETHER = 2048
 _loaded: dict[str, object] = {}
 
 
@@ -49,7 +51,8 @@ class WordTable:
 
     White space only separates words for it and it lower-cases them, so a text's ids are those of its words.
     Letters A-Z are lower-cased before the look-up, and punctuation after a word in ASCII is a word of its own
-    for the tokenizer too. Texts that hold a marker of a special token go to the tokenizer whole.
+    for the tokenizer too. Texts that hold a marker of a special token go to the tokenizer whole. Words are looked up once for each
+    different one of the texts that are encoded together; their ids are laid out by numpy.
     """
 
     def __init__(self, tokenizer, entries: int = TABLE_ENTRIES):
@@ -59,13 +62,13 @@ class WordTable:
     def _raw(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def add(self, lists: list[list[bytes]]) -> None:
+    def add(self, words: list[bytes]) -> None:
         known = self.ids
         if len(known) > self.entries:
             self.ids = known = {b"": b""}
-        missing = {x for words in lists for x in words if x not in known}
+        missing = [x for x in words if x not in known]
         parts = {x: m.groups() for x in missing if (m := self.tail.fullmatch(x))}
-        needed = list({y for x in missing for y in parts.get(x, (x,)) if y not in known})
+        needed = list(dict.fromkeys(y for x in missing for y in parts.get(x, (x,)) if y not in known))
         for i in range(0, len(needed), 20_000):
             part = needed[i : i + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
@@ -75,9 +78,23 @@ class WordTable:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        lists = [[] if "<|" in x else x.encode().lower().replace(b"\n", b" ").split(b" ") for x in texts]
-        self.add(lists)
-        return [self._raw(text) if "<|" in text else b"".join(map(self.ids.__getitem__, words)) for text, words in zip(texts, lists)]
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = ["<|" in x for x in texts]
+        lists = pc.split_pattern(pa.array([b"" if w else x.encode().lower().replace(b"\n", b" ") for x, w in zip(texts, whole)], pa.large_binary()), b" ")
+        words = lists.flatten().dictionary_encode()
+        different, index = words.dictionary.to_pylist(), words.indices.to_numpy()
+        self.add(different)
+        found = [self.ids[x] for x in different]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), np.uint32)[np.repeat(starts[index] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        return [self._raw(x) if w else ids[a:b].tobytes() for x, w, a, b in zip(texts, whole, bounds, bounds[1:])]
 
 
 def combinations(lengths, counts, window: int = WINDOW, wide: int = 48):
@@ -199,8 +216,8 @@ def _rows(batches: Iterator, path: str, window: int, end: int, gather: int) -> I
 
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i in range(0, len(keys), 256):
-            for key, ids in zip(keys[i : i + 256], words.encode([x or "" for x in texts[i : i + 256]])):
+        for i in range(0, len(keys), TOGETHER):
+            for key, ids in zip(keys[i : i + TOGETHER], words.encode([x or "" for x in texts[i : i + TOGETHER]])):
                 ids += last
                 tokens = len(ids) // 4
                 full = tokens - tokens % window

@@ -43,6 +43,24 @@ def test_chunk_table_is_emptied():
         assert table.join(words) == array("I", table.model.encode(text)).tobytes()
 
 
+def test_packing_looks_up_a_word_once():
+    """The ids of texts encoded together are the tokenizer's, and each different word is looked up once."""
+    from tokenizers import Tokenizer
+
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    table = packing.WordTable(Tokenizer.from_file(packing.tokenizer_path()))
+    table.ids = Counting(table.ids)
+    texts = ["One two  three, two\n" * 200, "", "two <|endoftext|> one", "one \u00c4b\u00e9 " * 100]
+    assert table.encode(texts) == [array("I", table.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
+    assert table.ids.asked < 20 and table.encode([]) == []
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
