@@ -386,6 +386,33 @@ def test_bm25_asks_every_twentieth_document(spark, data, monkeypatch):
     assert again == got
 
 
+def test_bm25_adds_up_queries_together(monkeypatch):
+    """Whole documents as queries: their scores are brought near for all together, none is added up alone, and the best are WAND's to the last bit."""
+    import numpy as np
+
+    rng = random.Random(11)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(200))) for _ in range(300)] + ["w1 w2 w3"] * 40
+    lists, names = [], []
+    for t in texts:
+        lists.append([names.index(w) if w in names else names.append(w) or len(names) - 1 for w in (x.encode() for x in bm25.terms(t))])
+    average = sum(map(len, lists)) / len(lists)
+    shard = bm25.Shard(next(iter(bm25.shard_rows(0, list(range(len(texts))), lists, names))).to_pylist()[0], average)
+    place = {t: k for k, t in enumerate(sorted(names))}
+    asked = [sorted((place[t.encode()], c) for t, c in Counter(bm25.terms(x)).items()) for x in texts[:60] + texts[-2:]]
+    idf = np.log(1 + (len(texts) - shard.n + 0.5) / (shard.n + 0.5))
+    query = np.repeat(np.arange(len(asked)), list(map(len, asked)))
+    term, count = np.array([x for q in asked for x in q]).T
+    monkeypatch.setattr(bm25, "CELLS", 3000)
+    shard.prepare(np.unique(term))
+    assert 0 < len(shard.matrix) < len(np.unique(term))
+    of, docs, scores = shard.summed(query, term, count * idf[term], len(asked), 7, np.zeros(len(asked)))
+    of, docs, scores, _ = bm25.best(of, docs, scores, 7)
+    for i, q in enumerate(asked):
+        want = bm25.wand([(float(c * idf[t]), *shard.lists(t)) for t, c in q], shard.lengths, 7, average)
+        assert list(zip(scores[of == i].tolist(), docs[of == i].tolist())) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
