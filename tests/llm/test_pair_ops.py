@@ -173,6 +173,24 @@ def test_a_shared_line_makes_no_pairs(spark):
     assert {(r.doc_id, r.match_id) for r in substring_dedup.repeats(docs).collect()} >= {(101, 100), (102, 100)}
 
 
+def test_large_signatures_are_judged_alike(spark, monkeypatch):
+    """Windows of large signatures meet token by token and come to the same; what is shuffled next is written first, and no table stays but the result."""
+    rng = random.Random(44)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    line, whole = fresh(20), fresh(60)
+    texts = [fresh(60) + line + fresh(60) for _ in range(4)] + [fresh(60) + whole + fresh(60) for _ in range(4)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    windows = common.save(substring_dedup.window_rows(docs, 50).select("key", "doc", "lo", "c", "hi"), "windows")
+    assert hasattr(substring_dedup.surroundings(windows.withColumn("root", F.col("doc")), docs, 69), "_lectern_path")
+    some = sorted(map(tuple, substring_dedup.promising(windows, docs, 46, 0.8).collect()))
+    kept, save, drop = [], common.save, common.drop
+    monkeypatch.setattr(substring_dedup, "MANY", 1)
+    monkeypatch.setattr(substring_dedup, "save", lambda df, name: kept.append((out := save(df, name), name)) or out)
+    monkeypatch.setattr(substring_dedup, "drop", lambda spark, *frames: [kept.remove(next(x for x in kept if x[0] is f)) for f in frames] and drop(spark, *frames))
+    assert sorted(map(tuple, substring_dedup.promising(windows, docs, 46, 0.8).collect())) == some
+    assert {r[1] for r in some} == {4, 5, 6, 7} and {name for _, name in kept} == {"promising"}
+
+
 def test_passages(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
