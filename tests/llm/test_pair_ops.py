@@ -173,6 +173,48 @@ def test_a_shared_line_makes_no_pairs(spark):
     assert {(r.doc_id, r.match_id) for r in substring_dedup.repeats(docs).collect()} >= {(101, 100), (102, 100)}
 
 
+def test_windows_that_look_alike_are_judged_once(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    copy, other = rng.sample(words, 80), rng.sample(words, 60)
+    rows = [(k, " ".join(copy)) for k in range(30)] + [(50 + k, " ".join(other + rng.sample(words, 20))) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    windows = common.save(substring_dedup.window_rows(docs, 50).select("key", "doc", "lo", "c", "hi"), "windows")
+    near = substring_dedup.surroundings(windows.withColumn("root", F.col("doc")), docs, 69)
+    assert near.where("doc < 50").select("key", "look").distinct().count() * 30 == near.where("doc < 50").count()
+    assert near.groupBy("key", "look").agg(F.count_distinct("near", F.col("c") - F.greatest("lo", F.col("c") - 69)).alias("n")).where("n > 1").isEmpty()
+    some = sorted(map(tuple, substring_dedup.promising(windows, docs, 46, 0.8).collect()))
+    kept = {}
+    monkeypatch.setattr(substring_dedup, "MANY", 1)
+    monkeypatch.setattr(substring_dedup, "save", lambda df, name: kept.setdefault(name, (out := common.save(df, name), out.count()))[0] if name == "looks" else common.save(df, name))
+    assert sorted(map(tuple, substring_dedup.promising(windows, docs, 46, 0.8).collect())) == some
+    assert kept["looks"][1] < near.count() / 4  # a window of each look; every window's tokens were joined before
+
+
+def test_sides_and_possible_by_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for case in range(300):
+        n, width = int(rng.integers(1, 14)), 6
+        tokens = rng.integers(0, 4, n) if case % 2 else rng.permutation(20)[:n]
+        shared = rng.random(n) < (1 if case % 5 == 0 else 0.8)
+        at, fits = int(rng.integers(0, n)), []
+        for s in range(at + 1):
+            for e in range(at + 1, n + 1):
+                kinds, kept = len(set(tokens[s:e])), len(set(tokens[s:e][shared[s:e]]))
+                good = shared[s:e].sum()
+                if case % 2 and any(shared[i] != shared[j] for i in range(n) for j in range(n) if tokens[i] == tokens[j]):
+                    continue
+                if good >= 0.8 * (e - s) - 1e-9 and kept >= 0.8 * kinds - 1e-9 and (e - s >= width or good >= 0.8 * width - 1e-9):
+                    fits.append((s, e, e - s >= width, good >= 0.8 * width - 1e-9))
+        if fits:
+            want = any(x[2] for x in fits), any(x[3] for x in fits), min(x[0] for x in fits), max(x[1] for x in fits)
+            assert substring_dedup.sides(shared, tokens, at, width) == want
+        match = rng.random(40) < 0.85
+        assert substring_dedup.possible(match, 12) or not substring_dedup.stretches(match, 0.8 / (1 - 0.8), 12)
+
+
 def test_large_signatures_are_judged_alike(spark, monkeypatch):
     """Windows of large signatures meet token by token and come to the same; what is shuffled next is written first, and no table stays but the result."""
     rng = random.Random(44)
