@@ -495,3 +495,52 @@ def test_pipeline(spark):
 
 def test_shingles_of_short_texts():
     assert len(shingles.shingle_set("a b")) == 1 and len(shingles.shingle_set("a b c d e f")) == 2 and len(shingles.shingle_set(None)) == 0
+
+
+def test_settling_a_pair_needs_no_sort_where_tokens_differ(monkeypatch):
+    rng = random.Random(17)
+    hidden = lambda tokens: (_ for _ in ()).throw(AssertionError("sorted"))
+    found = 0
+    for _ in range(200):
+        base = rng.sample(range(1000), 60)
+        b = np.array([x for x in base if rng.random() < 0.95] + rng.sample(range(1000, 2000), 20), np.uint64)
+        a = np.array(rng.sample(range(2000, 3000), 15) + [x for x in base if rng.random() < 0.95], np.uint64)
+        want = substring_dedup.passages(b, a, [(0, len(b))], 20, 0.8)
+        with monkeypatch.context() as m:
+            m.setattr(substring_dedup, "distinct", hidden)  # two sorts and a third of both together, each pair, before
+            ranked = substring_dedup.ranks(a)
+            assert substring_dedup.passages(b, a, [(0, len(b))], 20, 0.8, ranked, substring_dedup.places_in(b, ranked[1]), True) == want
+        for s, e, lo, hi, value in want:
+            x, y = ({*t[i : j - shingles.WORDS + 1].tolist()} for t, i, j in ((b, s, e), (a, lo, hi)))
+            assert abs(len(x & y) / len(x | y) - value) < 1e-12
+        found += len(want)
+    assert found > 100
+
+
+def test_runs_gone_through_one_by_one_give_the_same_stretches(monkeypatch):
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        runs = substring_dedup.turns(rng.random(rng.integers(1, 150)) < rng.choice([0.5, 0.8, 0.95]))
+        for penalty in (4.0, 8.0):
+            few = substring_dedup.among_few(*(x.tolist() for x in runs), penalty, 6)
+            with monkeypatch.context() as m:
+                m.setattr(substring_dedup, "FEW", -1)
+                assert substring_dedup.among(*runs, penalty, 6) == few
+
+
+def test_surroundings_of_many_windows_of_a_text(spark):
+    """Near tokens and looks are cut out for all windows of a document together, in parts of SOME."""
+    import xxhash
+
+    rng = random.Random(23)
+    texts = {k: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(400)) for k in (1, 2)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    rows = [(k, d, lo, c, hi, -d) for k in range(1500) for d in texts for lo in [rng.randrange(150)] for c in [lo + rng.randrange(100)] for hi in [c + rng.randrange(140)]]
+    found = substring_dedup.surroundings(spark.createDataFrame(rows, "key long, doc long, lo int, c int, hi int, root long"), docs, 69).collect()
+    assert sorted((r.key, r.doc, r.lo, r.c, r.hi, r.root) for r in found) == sorted(rows)
+    tokens = {k: (shingles.mix(shingles.sequence(shingles.word_hashes(shingles.words(t)))) >> np.uint64(32)).astype(np.uint32).view(np.int32) for k, t in texts.items()}
+    for r in found:
+        start = max(r.lo, r.c - 69)
+        near = tokens[r.doc][start : min(r.hi, r.c + 69) + 1]
+        assert r.near == near.tolist()
+        assert r.look == np.array([xxhash.xxh3_64_intdigest(near.tobytes(), r.c - start)], np.uint64).view(np.int64)[0]
